@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import exact_dedup, source_mix, url_lists
+from wayfold.llm import decontaminate, exact_dedup, source_mix, url_lists
 from wayfold.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: The list history and the fetch days that the query derives from the pages: every page adds one dated
 #: entry for its host, or for the parent domain if its id leaves 3 when divided by 4, and is one capture.
 LIST_START = "2024-01-01"
@@ -78,6 +82,7 @@ FROM p LEFT JOIN (SELECT * FROM hits WHERE r = 1) h ON p.page_id = h.page_id
 QUERIES = {
     "op3_source_mix": op3_source_mix,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_decontaminate": op6_decontaminate,
     "op7_url_filter": op7_url_filter,
 }
 ORACLE_SQL = {
