@@ -4,9 +4,9 @@ Words are runs of letters and digits in lower case. A seed is a fixed mask of wo
 only the masked words of every position of both sides lets a hit survive substitutions at the
 ignored offsets. Hits of equal seeds are joined, each gives an alignment of document and item, and
 an alignment is a leak if some window of ``WINDOW`` aligned words (the whole item if it is shorter)
-has at least 10 in 13 equal words.
+has at least 11 in 14 equal words.
 
-The three masks below find every window of 13 words with up to 3 substitutions (all 286 ways were
+The two masks below find every window of 14 words with up to 3 substitutions (all 364 ways were
 enumerated; a test repeats that), so that seeding loses no leak in windows of full length.
 
 The benchmark's seeds are broadcast if a count shows them to be few (``BROADCAST_SEEDS``), and then
@@ -14,7 +14,7 @@ documents are neither shuffled nor sorted: seeds are exploded, looked up and dro
 stage. A larger benchmark is joined by an ordinary shuffle of the seeds. Only documents with hits are
 read again for the comparison; the hits are broadcast to them if they are few.
 
-Defined cases: null and empty texts have no words and no leaks; items shorter than the shortest mask
+Defined cases: null and empty texts have no words and no leaks; items shorter than a mask (9 words)
 can't be told from chance and are not searched; repeated items and documents count once per id;
 documents with a null id are kept by the filter.
 """
@@ -26,29 +26,21 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import broadcast_if_small, cut, text_or_empty
 
-#: Offsets of the words that a seed looks at.
-MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 4, 5), (0, 1, 6, 8, 9))
-WINDOW = 13
-MIN_EQUAL = 10
+#: Each mask looks at the words at the shared offsets and at one more: 0 1 2 6 8, and 0 2 6 7 8.
+SHARED = (0, 2, 6, 8)
+EXTRAS = (1, 7)
+SPAN = 9
+WINDOW = 14
+MIN_EQUAL = 11
 BROADCAST_SEEDS = 200_000
 
 
 def words(text_col: str) -> Column:
-    spaced = F.trim(F.regexp_replace(F.lower(text_or_empty(text_col)), r"[^\p{L}\p{N}]+", " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
-
-
-def _seeds(hashed: Column) -> Column:
-    """Seeds of every mask and start, mask by mask: element m * n + p belongs to mask m at word p. Masks that reach beyond the end give null."""
-
-    def of(k: int, mask: tuple[int, ...]) -> Column:
-        def at(x: Column, i: Column) -> Column:
-            seed = F.xxhash64(F.lit(k), x, *(F.get(hashed, i + o) for o in mask[1:]))
-            return F.when(i + mask[-1] < F.size(hashed), seed)
-
-        return F.transform(hashed, at)
-
-    return F.concat(*(of(k, mask) for k, mask in enumerate(MASKS)))
+    """Runs of letters and digits in lower case; what precedes the first and follows the last one leaves no empty word."""
+    pieces = F.split(F.lower(text_or_empty(text_col)), r"[^\p{L}\p{N}]+")
+    first = F.when(F.element_at(pieces, 1) == "", 2).otherwise(1)
+    last = F.size(pieces) - F.when(F.element_at(pieces, -1) == "", 1).otherwise(0)
+    return F.slice(pieces, first, F.greatest(last - first + 1, F.lit(0)))
 
 
 def _seeded(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -58,9 +50,14 @@ def _seeded(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     which would split the text again for every word.
     """
     split = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), words(text_col).alias("_words"))
-    hashed = split.select("_id", F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
-    seeds = hashed.select("_id", F.size("_hashes").alias("_n"), _seeds(F.col("_hashes")).alias("_seeds"))
-    return seeds.select("_id", "_n", F.posexplode_outer("_seeds").alias("_i", "_seed")).filter("_seed is not null").select("_id", "_n", (F.col("_i") % F.col("_n")).alias("_at"), "_seed")
+    shared = F.transform("_words", lambda w, i: F.xxhash64(w, *(F.get("_words", i + o) for o in SHARED[1:])))
+    based = split.select("_id", "_words", shared.alias("_shared"))
+
+    def seeds(extra: int) -> Column:
+        return F.transform("_shared", lambda h, i: F.xxhash64(h, F.get("_words", i + extra), F.lit(extra)))
+
+    seeded = based.select("_id", F.size("_words").alias("_n"), F.concat(*map(seeds, EXTRAS)).alias("_seeds"))
+    return seeded.select("_id", "_n", F.posexplode_outer("_seeds").alias("_i", "_seed")).withColumn("_at", F.col("_i") % F.col("_n")).filter(F.col("_at") + SPAN <= F.col("_n")).drop("_i")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
