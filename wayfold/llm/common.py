@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +43,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Like ``cut`` for wide or long tables: written as compressed Parquet below the same folder and read again."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        cut(df.sparkSession.range(1))
+    path = f"{context.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import decontaminate, exact_dedup, source_mix, url_lists
+from wayfold.llm import decontaminate, exact_dedup, ngram_join, source_mix, url_lists
 from wayfold.llm.common import table
 
 
@@ -23,6 +23,10 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ FROM p LEFT JOIN (SELECT * FROM hits WHERE r = 1) h ON p.page_id = h.page_id
 """
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_source_mix": op3_source_mix,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_decontaminate": op6_decontaminate,
