@@ -44,20 +44,15 @@ def words(text_col: str) -> Column:
 
 
 def _seeded(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _n, _at, _seed) for every seed of every row with an id; _n is the row's number of words.
+    """(_id, _at, _seed, _extra0, _extra1) for every start of every row with an id.
 
-    The outer form of explode keeps the optimizer from pushing a test of the seed array below the projections,
-    which would split the text again for every word.
+    Words are exploded with their array beside them, so that the hashes are compiled expressions; the array itself
+    goes no further. The outer form of explode keeps the optimizer from splitting the text twice.
     """
     split = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), words(text_col).alias("_words"))
-    shared = F.transform("_words", lambda w, i: F.xxhash64(w, *(F.get("_words", i + o) for o in SHARED[1:])))
-    based = split.select("_id", "_words", shared.alias("_shared"))
-
-    def seeds(extra: int) -> Column:
-        return F.transform("_shared", lambda h, i: F.xxhash64(h, F.get("_words", i + extra), F.lit(extra)))
-
-    seeded = based.select("_id", F.size("_words").alias("_n"), F.concat(*map(seeds, EXTRAS)).alias("_seeds"))
-    return seeded.select("_id", "_n", F.posexplode_outer("_seeds").alias("_i", "_seed")).withColumn("_at", F.col("_i") % F.col("_n")).filter(F.col("_at") + SPAN <= F.col("_n")).drop("_i")
+    started = split.select("_id", "_words", F.posexplode_outer("_words").alias("_at", "_word")).filter(F.col("_at") + SPAN <= F.size("_words"))
+    at = lambda o: F.get("_words", F.col("_at") + o)
+    return started.select("_id", "_at", F.xxhash64("_word", *(at(o) for o in SHARED[1:])).alias("_seed"), *(F.xxhash64(at(o)).alias(f"_extra{k}") for k, o in enumerate(EXTRAS)))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -68,8 +63,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     texts = benchmark.filter(F.col(item_id_col).isNotNull()).groupBy(F.col(item_id_col).alias("_item")).agg(F.max(item_text_col).alias("_text"))
     items = cut(texts.select("_item", words("_text").alias("_item_words")))
-    tests = cut(_seeded(texts, "_item", "_text").select("_seed", F.col("_id").alias("_item"), F.col("_at").alias("_item_at")).distinct())
-    hits = _seeded(docs, id_col, text_col).join(broadcast_if_small(tests, BROADCAST_SEEDS), "_seed")
+    tests = cut(_seeded(texts, "_item", "_text").toDF("_item", "_item_at", "_seed", "_test0", "_test1"))
+    same_extra = (F.col("_extra0") == F.col("_test0")) | (F.col("_extra1") == F.col("_test1"))
+    few = broadcast_if_small(tests, BROADCAST_SEEDS)
+    seeds = _seeded(docs, id_col, text_col)
+    hits = seeds.join(few, (seeds["_seed"] == few["_seed"]) & same_extra)
     starts = cut(hits.select("_id", "_item", (F.col("_at") - F.col("_item_at")).alias("_start")).distinct())
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(broadcast_if_small(starts), "_id")
     aligned = found.join(broadcast_if_small(items, BROADCAST_SEEDS), "_item").select("_id", "_item", "_start", "_item_words", words("_text").alias("_words"))
