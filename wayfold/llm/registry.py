@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import decontaminate, exact_dedup, ngram_join, source_mix, url_lists
+from wayfold.llm import decontaminate, exact_dedup, language_id, ngram_join, source_mix, toxicity, url_lists
 from wayfold.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +60,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4, F.lit(0))
+    told = language_id.predict_languages(docs, fold != 2)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 OP7_SQL = r"""
 WITH p AS (
   SELECT page_id, url,
@@ -87,8 +99,10 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_source_mix": op3_source_mix,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_url_filter": op7_url_filter,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": OP4_SQL,
