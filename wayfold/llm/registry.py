@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import decontaminate, exact_dedup, language_id, ngram_join, source_mix, toxicity, url_lists
+from wayfold.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, ngram_join, source_mix, toxicity, url_lists
 from wayfold.llm.common import table
 
 
@@ -60,6 +60,20 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A conversation of control strings that the query adds to the table.
+CONTROL_CHAT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    added = spark.createDataFrame(CONTROL_CHAT, "conv_id long, turn long, role string, text string")
+    return chat_format.digest_chats(chat_format.format_chats(turns.unionByName(added)))
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4, F.lit(0))
@@ -102,6 +116,8 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_url_filter": op7_url_filter,
+    "op8_chat_format": op8_chat_format,
+    "op9_html_extract": op9_html_extract,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {
