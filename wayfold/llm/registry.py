@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, ngram_join, source_mix, toxicity, url_lists
+from wayfold.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, ngram_join, secret_scan, source_mix, toxicity, url_lists
 from wayfold.llm.common import table
 
 
@@ -23,6 +23,10 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -110,6 +114,7 @@ FROM p LEFT JOIN (SELECT * FROM hits WHERE r = 1) h ON p.page_id = h.page_id
 """
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_ngram_join": op2_ngram_join,
     "op3_source_mix": op3_source_mix,
     "op4_exact_dedup": op4_exact_dedup,
