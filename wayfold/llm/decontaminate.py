@@ -71,7 +71,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     starts = cut(hits.select("_id", "_item", (F.col("_at") - F.col("_item_at")).alias("_start")).distinct())
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(broadcast_if_small(starts), "_id")
     aligned = found.join(broadcast_if_small(items, BROADCAST_SEEDS), "_item").select("_id", "_item", "_start", "_item_words", words("_text").alias("_words"))
-    same = F.transform("_item_words", lambda w, i: F.when(F.get("_words", i + F.col("_start")) == w, 1).otherwise(0))
+    start = F.col("_start")
+    beside = F.concat(F.array_repeat(F.lit(None).cast("string"), F.greatest(-start, F.lit(0)).cast("int")), F.slice("_words", F.greatest(start, F.lit(0)) + 1, F.size("_item_words")))
+    same = F.slice(F.zip_with("_item_words", beside, lambda w, d: F.when(w == d, 1).otherwise(0)), 1, F.size("_item_words"))
     width = F.least(F.size("_same"), F.lit(WINDOW))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("_same") - width + 1), lambda i: F.aggregate(F.slice("_same", i, width), F.lit(0), lambda a, x: a + x)))
     compared = aligned.select("_id", "_item", "_start", same.alias("_same")).select(
