@@ -46,7 +46,7 @@ ANNOUNCING = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 TRAIN_DOCS = 8_000
 TRAIN_WINDOW = 24
-ROUNDS = 150
+ROUNDS = 100
 RATE = 0.3
 SHRINK = 1e-3
 SEED = 5
@@ -180,7 +180,8 @@ def fit(windows: np.ndarray, labels: np.ndarray, seed: int = SEED) -> Field:
         total = _log_sum(forward[-1], 1)
         single = np.exp(forward + backward - total[None, :, None]).transpose(1, 0, 2) * inside[..., None]
         g_w = np.zeros_like(w)
-        np.add.at(g_w, seen.reshape(-1, seen.shape[2]), (gold - single).reshape(-1, 1, 3))
+        for k in range(3):
+            g_w[:, k] = np.bincount(seen.ravel(), weights=np.repeat((gold - single)[..., k].ravel(), seen.shape[2]), minlength=len(w))
         g_steps = np.zeros((3, 3))
         for t in range(1, length):
             both = forward[t - 1][:, :, None] + steps[None] + (score[:, t] + backward[t])[:, None, :] - total[:, None, None]
@@ -191,7 +192,6 @@ def fit(windows: np.ndarray, labels: np.ndarray, seed: int = SEED) -> Field:
             g = g - SHRINK * x
             s += g * g
             x += RATE * g / np.sqrt(s)
-    steps[_O, _I] = start[_I] = -8.0  # inside follows begin or inside only
     return Field(w, steps, start)
 
 
@@ -300,7 +300,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array(tagged, pa.binary())], names=["_x", "_y"])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, most_windows: int = 4_000) -> Field | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, most_windows: int = 2_000) -> Field | None:
     """The field, or None if the sample has no base span. Of the sample's windows all with spans and at most ``most_windows`` others are used."""
     sample = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(train_docs).distinct()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id", "left_semi")
