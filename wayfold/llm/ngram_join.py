@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = shared.select("_sig", "_node", "_n").join(broadcast_if_small(labels, BROADCAST_NODES), "_node", "left").withColumn("_label", F.coalesce("_label", "_node"))
     mixed = grouped.groupBy("_sig").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).filter("_low <> _high").select("_sig")
     open_rows = cut(grouped.join(mixed, "_sig", "left_semi"))
-    left, right = open_rows.toDF("_a", "_sig", "_na", "_la"), open_rows.toDF("_b", "_sig", "_nb", "_lb")
+    left, right = (open_rows.select("_sig", F.col("_node").alias(f"_{k}"), F.col("_n").alias(f"_n{k}"), F.col("_label").alias(f"_l{k}")) for k in "ab")
     second = left.join(right, "_sig").filter("_a < _b and _la <> _lb").filter(close("_na", "_nb")).select("_a", "_b").distinct()
     second = cut(second.join(first.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")), ["_a", "_b"], "left_anti"))
     more = cut(_verify(second, rows, texts_of))
