@@ -195,8 +195,8 @@ def fit(windows: np.ndarray, labels: np.ndarray, seed: int = SEED) -> Field:
     return Field(w, steps, start)
 
 
-def viterbi(score: np.ndarray, field: Field, first: bool) -> np.ndarray:
-    """The best labels of a run of tokens that follows an outside token, or begins a text, and is followed by an outside token or the end."""
+def viterbi(score: np.ndarray, field: Field, first: bool, last: bool) -> np.ndarray:
+    """The best labels of a run of tokens between outside tokens; ``first``: it begins a text, ``last``: it ends one."""
     best = score[0] + (field.start if first else field.steps[_O])
     back = np.zeros(score.shape, np.int8)
     for t in range(1, len(score)):
@@ -204,7 +204,7 @@ def viterbi(score: np.ndarray, field: Field, first: bool) -> np.ndarray:
         back[t] = way.argmax(0)
         best = way.max(0) + score[t]
     labels = np.zeros(len(score), np.int8)
-    labels[-1] = (best + field.steps[:, _O]).argmax()
+    labels[-1] = (best if last else best + field.steps[:, _O]).argmax()
     for t in range(len(score) - 1, 0, -1):
         labels[t - 1] = back[t, labels[t]]
     return labels
@@ -228,7 +228,8 @@ def decode(data: np.ndarray, offsets: np.ndarray, field: Field) -> list[tuple[in
     spans = []
     for run in np.split(at, breaks):
         first = run[0] == 0 or owner[run[0] - 1] != owner[run[0]]
-        labels = viterbi(field.weights[x[run]].sum(1), field, first)
+        last = run[-1] + 1 == owner.size or owner[run[-1] + 1] != owner[run[-1]]
+        labels = viterbi(field.weights[x[run]].sum(1), field, first, last)
         span = None
         for t, label in zip(run, labels):
             if label == _B or label == _I and span is None:
