@@ -59,3 +59,26 @@ def cached_answers(events: DataFrame, key: str, ts: str, order: str, success: Co
     age = t - F.max(F.when(success, t)).over(w)
     state = F.when(age <= fresh, "fresh").when(age <= stale, "stale").otherwise("miss")
     return events.withColumns({"age": age, "state": state})
+
+
+def trim_conversations(turns: DataFrame, key: str, turn: str, role: Column, most: int) -> DataFrame:
+    """At most the last ``most`` turns of a conversation, cut so that they begin with a user's turn."""
+    back = Window.partitionBy(key).orderBy(F.desc(turn))
+    recent = turns.withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= most).drop("_r")
+    first_user = F.min(F.when(role == "user", F.col(turn))).over(Window.partitionBy(key))
+    return recent.withColumn("_f", first_user).filter(F.col(turn) >= F.col("_f")).drop("_f")
+
+
+def last_known(rows: DataFrame, key: str, ts: str, order: str, value: Column, seconds: int) -> DataFrame:
+    """Each row with the key's last value that is not null, up to itself, if it is at most ``seconds`` old."""
+    w = Window.partitionBy(key).orderBy(ts, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = F.unix_seconds(F.col(ts).cast("timestamp"))
+    last = F.last(F.when(value.isNotNull(), F.struct(value.alias("v"), t.alias("t"))), ignorenulls=True).over(w)
+    return rows.withColumn("_l", last).withColumn("known", F.when(t - F.col("_l.t") <= seconds, F.col("_l.v"))).drop("_l")
+
+
+def prune_by_budget(rows: DataFrame, group: str, newest: list[Column], size: Column, most_rows: int, most_size: float) -> DataFrame:
+    """What a bounded cache keeps: the newest rows while their number and summed size fit."""
+    w = Window.partitionBy(group).orderBy(*newest)
+    kept = rows.withColumns({"_n": F.row_number().over(w), "_s": F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    return kept.filter((F.col("_n") <= most_rows) & (F.col("_s") <= most_size)).drop("_n", "_s")

@@ -38,3 +38,11 @@ def robots_allowed(paths: DataFrame, rules: DataFrame, key: str, path: str) -> D
     hit = F.broadcast(rules)
     matched = paths.join(hit, F.startswith(paths[path], hit["prefix"]), "left")
     return matched.groupBy(key).agg(F.coalesce(F.max_by("allow", F.struct(F.length("prefix"), "allow")), F.lit(True)).alias("allowed"))
+
+
+def json_ld(pages: DataFrame, key: str, html: str, schema: str) -> DataFrame:
+    """(key, position, node): the page's ld+json blocks that parse as the schema; broken blocks are skipped."""
+    blocks = F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
+    rows = pages.select(key, F.posexplode(blocks).alias("position", "block"))
+    parsed = rows.select(key, "position", F.from_json("block", schema, {"mode": "PERMISSIVE"}).alias("node"), F.try_parse_json("block").isNotNull().alias("ok"))
+    return parsed.filter("ok").drop("ok")
