@@ -16,14 +16,20 @@ The number of groups follows the size of the set (one per 8 tokens). So that bot
 use the same groups, sizes fall into overlapping bands of ratio 1.34 and pair signatures are made
 per band; sets whose sizes differ by more than 4 / 3 can't link.
 
-Which tokens are frequent only affects speed. It is counted over all texts: tasks count their own
-tokens and report those that are common in the task (a token common overall is common in some task),
-the reports are summed, and the at most ``FREQUENT_TOKENS`` most common tokens are sent to the tasks.
-
-Equal sets are one node, so copies cost nothing after hashing. Candidates are verified in two rounds:
-first every node against the one signature leader that it shares most signatures with, then, after
-components are formed, all pairs that share a signature across different components. Pairs inside
-a component can't change it. No group is expanded into all its pairs.
+Which tokens are frequent only affects speed. It is counted over all texts: exactly for the tokens whose
+hash is among the lowest ``COUNTED`` of all values (rare tokens are ordered by hash, so a prefix of rare tokens
+ends there), and by lossy counting for the rest: tasks report tokens that are common in the task, and a token
+common overall is common in some task. The at most ``FREQUENT_TOKENS`` most common are sent to the tasks.
+
+Equal sets are one node, so copies cost nothing after hashing. Candidates are verified in rounds. In each of
+the first ``STAR_ROUNDS`` every node is compared with one node of another component, namely the one, of the
+leaders of its signatures' groups, that it shares most with; leaders change from round to round. The last round takes
+all pairs that share a signature across different components. Pairs inside a component can't change it, so
+no group of near copies is expanded into all its pairs. Two bounds rule out pairs before sets are compared. With
+prefixes of p and q rare tokens of which c are common, all further common tokens follow the prefix that
+ends first, so |x & y| is at most c + max(|x| - p, |y| - q). Where the prefix needs frequent tokens it holds all
+rare tokens of a set, u in x and v in y: pairs without a common rare token have |x & y| of at most
+min(|x| - u, |y| - v), and pairs with one meet at that token's signature.
 
 Defined cases: null and empty texts have no tokens, n_shingles 0, and are linked with nothing; a text
 of 1 to 4 words has one token, its whole word sequence; repeated rows link with each other; a row with
@@ -39,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm import arrays
@@ -49,13 +55,16 @@ from wayfold.llm.components import connected_components
 WORDS = 5
 #: Similarity as a fraction of integers.
 LEAST, OF = 75, 100
-#: Share of the texts, and number of texts, from which a token is frequent; most such tokens that are used.
-FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_TOKENS = 0.001, 32, 1 << 18
+#: Number of texts from which a token is frequent, most such tokens that are used, and the share of hash values counted exactly.
+FREQUENT_LEAST, FREQUENT_TOKENS, COUNTED = 16, 1 << 20, 0.3
 #: Share of a task's texts, and number, from which the task reports a token.
 REPORT_SHARE, REPORT_LEAST = 0.0005, 4
 #: Tokens that a task gathers before it drops those it saw once.
 GATHERED = 2 << 20
 BAND = 1.34
+#: Rounds of comparisons with leaders, and the least share of a node's tokens that it then has in common with its leader as signatures.
+STAR_ROUNDS = 3
+FIRST_SHARE = 0.1
 TOKENS_PER_GROUP = 8
 #: Nodes up to which the list of texts to compare is broadcast.
 BROADCAST_NODES = 500_000
@@ -92,39 +101,62 @@ def _node(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_SCAN = pa.schema([("_id", pa.int64()), ("_n", pa.int64()), ("_node", pa.int64()), ("_token", pa.int64()), ("_count", pa.int64())])
+_SCAN = pa.schema([("_id", pa.int64()), ("_n", pa.int64()), ("_node", pa.int64())])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per text with its size and node, then the task's common tokens with their counts."""
-    seen, counts, gathered, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], 0, 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        tokens, of = np.concatenate(seen), np.concatenate(counts)
-        order = np.argsort(tokens)
-        tokens, of = tokens[order], of[order]
-        firsts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if tokens.size else np.zeros(0, np.int64)
-        return tokens[firsts], np.add.reduceat(of, firsts) if tokens.size else of
-
+    """Size and node of every text."""
     for batch in batches:
         n, node = [], []
         for tokens in shingle_sets(batch.column("_text")):
             n.append(tokens.size)
             node.append(_node(tokens))
-            seen.append(tokens)
-            counts.append(np.ones(tokens.size, np.int32))
-            gathered += tokens.size
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64())], schema=_SCAN)
+
+
+_COUNTS = pa.schema([("_token", pa.int64()), ("_count", pa.int64())])
+
+
+def _merged(tokens: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    tokens, counts = np.concatenate(tokens), np.concatenate(counts)
+    if not tokens.size:
+        return tokens, counts
+    order = np.argsort(tokens)
+    tokens, counts = tokens[order], counts[order]
+    firsts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    return tokens[firsts], np.add.reduceat(counts, firsts)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the tokens below the counted share, and of other tokens that are common in the task, by texts."""
+    limit = _U(int(COUNTED * 2**64))
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    low, high = [[none[0]], [none[1]]], [[none[0]], [none[1]]]
+    held = [0, 0]
+    rows = 0
+
+    def told(tokens: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], schema=_COUNTS)
+
+    for batch in batches:
+        for tokens in shingle_sets(batch.column("_text")):
             rows += 1
-            if gathered > GATHERED:
-                tokens, c = merged()
-                seen, counts = [tokens[c > 1]], [c[c > 1]]
-                gathered = seen[0].size
-        nulls = pa.nulls(len(n), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), nulls, nulls], schema=_SCAN)
-    tokens, c = merged()
-    common = c >= max(REPORT_LEAST, REPORT_SHARE * rows)
-    nulls = pa.nulls(int(common.sum()), pa.int64())
-    yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.array(tokens[common].view(np.int64)), pa.array(c[common].astype(np.int64))], schema=_SCAN)
+            cut_at = int(np.searchsorted(tokens, limit))
+            for k, (part, kept) in enumerate(((tokens[:cut_at], low), (tokens[cut_at:], high))):
+                kept[0].append(part)
+                kept[1].append(np.ones(part.size, np.int32))
+                held[k] += part.size
+            if held[0] > GATHERED:
+                yield told(*_merged(*low))
+                low, held[0] = [[none[0]], [none[1]]], 0
+            if held[1] > GATHERED:
+                tokens, counts = _merged(*high)
+                high = [[tokens[counts > 1]], [counts[counts > 1]]]
+                held[1] = high[0][0].size
+    yield told(*_merged(*low))
+    tokens, counts = _merged(*high)
+    common = counts >= max(REPORT_LEAST, REPORT_SHARE * rows)
+    yield told(tokens[common], counts[common])
 
 
 def _pair_signatures(rare: int, frequent: np.ndarray, need: int, band: int) -> list[int]:
@@ -146,23 +178,26 @@ def _pair_signatures(rare: int, frequent: np.ndarray, need: int, band: int) -> l
     return arrays.mix(arrays.mix(a[:, 0] + _U(band + 1)) + a[:, 1]).view(np.int64).tolist()
 
 
-_SIGNED = pa.schema([("_sig", pa.int64()), ("_node", pa.int64()), ("_n", pa.int64())])
+_SIGNED = pa.schema([("_sig", pa.int64()), ("_node", pa.int64()), ("_n", pa.int64()), ("_p", pa.int64()), ("_r", pa.int64())])
 
 
 def _signer(frequent_tokens):
-    """Signatures of every text; ``frequent_tokens`` is a broadcast (sorted tokens, their ranks by count)."""
+    """Signatures of every text; ``frequent_tokens`` is a broadcast (sorted tokens, their ranks by count).
+
+    _p is the prefix's length, 0 if it holds frequent tokens; _r is the number of rare tokens for signatures of pairs, else -1.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = frequent_tokens.value
         for batch in batches:
-            sigs, nodes, sizes = [], [], []
+            rows: list[list] = [[], [], [], [], []]
+            held = 0
 
             def flush() -> pa.RecordBatch:
-                lengths = [s.size for s in sigs]
-                out = [np.concatenate(sigs) if sigs else np.zeros(0, np.int64), np.repeat(np.array(nodes, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths)]
+                lengths = [x.size for x in rows[0]]
+                out = [np.concatenate(rows[0]) if rows[0] else np.zeros(0, np.int64), *(np.repeat(np.array(x, np.int64), lengths) for x in rows[1:])]
                 return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=_SIGNED)
 
-            held = 0
             for tokens in shingle_sets(batch.column("_text")):
                 n = tokens.size
                 if n < 2:
@@ -174,19 +209,20 @@ def _signer(frequent_tokens):
                     is_common = common[at] == tokens
                     if is_common.any():
                         rare, ranks = tokens[~is_common], rank[at[is_common]]
-                sig = rare[:need].view(np.int64)
-                if rare.size < need:
+                node, alone = _node(tokens), rare.size >= need
+                made = [(rare[:need].view(np.int64), need if alone else 0, -1)]
+                if not alone:
                     frequent = tokens[is_common][np.argsort(ranks)]
                     band = int(math.log(n) / math.log(BAND))
-                    more = [s for b in (band - 1, band) for s in _pair_signatures(rare.size, frequent, need, b)]
-                    sig = np.concatenate([sig, np.array(more, np.int64)])
-                sigs.append(sig)
-                nodes.append(_node(tokens))
-                sizes.append(n)
-                held += sig.size
+                    pairs = [x for b in (band - 1, band) for x in _pair_signatures(rare.size, frequent, need, b)]
+                    made.append((np.array(pairs, np.int64), 0, rare.size))
+                for sig, prefix, rares in made:
+                    for column, x in zip(rows, (sig, node, n, prefix, rares)):
+                        column.append(x)
+                    held += sig.size
                 if held > 200_000:
                     yield flush()
-                    sigs, nodes, sizes, held = [], [], [], 0
+                    rows, held = [[], [], [], [], []], 0
             yield flush()
 
     return sign
@@ -233,11 +269,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, texts_of: DataFrame) -> DataFrame
     return pairs.join(b, "_b").join(a, "_a").select("_a", "_b", "_set_a", "_set_b").mapInArrow(_linked, "_a long, _b long")
 
 
-def _frequent(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted frequent tokens and their ranks, most common last: at most ``FREQUENT_TOKENS``."""
-    texts = scanned.filter("_token is null").count()
-    counted = scanned.filter("_token is not null").groupBy("_token").agg(F.sum("_count").alias("_count"))
-    found = counted.filter(F.col("_count") >= max(FREQUENT_LEAST, FREQUENT_SHARE * texts)).orderBy(F.desc("_count"), "_token").limit(FREQUENT_TOKENS).toArrow()
+    counted = rows.select("_text").mapInArrow(_count, "_token long, _count long").groupBy("_token").agg(F.sum("_count").alias("_count"))
+    found = counted.filter(F.col("_count") >= FREQUENT_LEAST).orderBy(F.desc("_count"), "_token").limit(FREQUENT_TOKENS).toArrow()
     tokens = found.column("_token").to_numpy().astype(np.int64).view(np.uint64)
     by_count = np.lexsort((tokens, found.column("_count").to_numpy()))
     rank = np.empty(tokens.size, np.int64)
@@ -246,46 +281,79 @@ def _frequent(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], rank[order]
 
 
+def _enough(overlap: Column, x: str, y: str) -> Column:
+    """Whether an overlap of sets with so many tokens makes them link."""
+    return (OF + LEAST) * overlap >= LEAST * (F.col(x) + F.col(y))
+
+
+def _may_link(x: str, y: str, rx: str, ry: str) -> Column:
+    """Whether sizes, and for signatures of pairs the rare tokens, leave it possible that two sets link."""
+    close = (F.col(x) * LEAST <= F.col(y) * OF) & (F.col(y) * LEAST <= F.col(x) * OF)
+    return close & ((F.col(rx) < 0) | _enough(F.least(F.col(x) - F.col(rx), F.col(y) - F.col(ry)), x, y))
+
+
+def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Signatures with their node's component, only those of groups with several components."""
+    if labels is None:
+        return shared.withColumn("_label", F.col("_node"))
+    named = shared.join(broadcast_if_small(labels, BROADCAST_NODES), "_node", "left").select(*shared.columns, F.coalesce("_label", "_node").alias("_label"))
+    mixed = named.groupBy("_sig").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).filter("_low <> _high").select("_sig")
+    return named.join(mixed, "_sig", "left_semi").select(named.columns)
+
+
+def _star_pairs(open_rows: DataFrame, number: int) -> DataFrame:
+    """(_a, _b): for each node the leader of another component that it shares most with. Leaders are the least by a hash that the round seeds."""
+    lead = F.struct(F.xxhash64("_node", F.lit(number)).alias("h"), "_node", "_n", "_r", "_label")
+    led = open_rows.withColumn("_l", F.min(lead).over(Window.partitionBy("_sig"))).select("_node", "_n", "_r", "_label", F.col("_l._node").alias("_leader"), F.col("_l._n").alias("_ln"), F.col("_l._r").alias("_lr"), F.col("_l._label").alias("_ll"))
+    weight = F.when(F.col("_r") < 0, 1.0).otherwise(FIRST_SHARE * F.col("_n"))
+    return (
+        led.filter("_label <> _ll")
+        .filter(_may_link("_n", "_ln", "_r", "_lr"))
+        .groupBy("_leader", "_node", "_n")
+        .agg(F.sum(weight).alias("_c"))
+        .filter(F.col("_c") >= FIRST_SHARE * F.col("_n"))
+        .groupBy(F.col("_node").alias("_b"))
+        .agg(F.max_by("_leader", F.struct("_c", "_leader")).alias("_a"))
+        .select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
+        .distinct()
+    )
+
+
+def _all_pairs(open_rows: DataFrame) -> DataFrame:
+    """(_a, _b): nodes of different components that share a signature and may link."""
+    left, right = (open_rows.select("_sig", *(F.col(c).alias(c + k) for c in ("_node", "_n", "_p", "_r", "_label"))) for k in "ab")
+    beyond = F.greatest(F.col("_na") - F.col("_pa"), F.col("_nb") - F.col("_pb"))
+    met = left.join(right, "_sig").filter("_nodea < _nodeb and _labela <> _labelb").filter(_may_link("_na", "_nb", "_ra", "_rb"))
+    counted = met.groupBy("_nodea", "_nodeb", "_na", "_nb", "_pa", "_pb").agg(F.count("*").alias("_c"))
+    possible = (F.col("_pa") == 0) | (F.col("_pb") == 0) | _enough(F.col("_c") + beyond, "_na", "_nb")
+    return counted.filter(possible).select(F.col("_nodea").alias("_a"), F.col("_nodeb").alias("_b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    scanned = cut(rows.mapInArrow(_scan, "_id long, _n long, _node long, _token long, _count long"))
-    nodes = scanned.filter("_token is null").select("_id", "_n", "_node")
+    nodes = cut(rows.mapInArrow(_scan, "_id long, _n long, _node long"))
     texts_of = nodes.filter("_n > 1 and _id is not null").groupBy("_node").agg(F.min("_id").alias("_rep"))
-    frequent = spark.sparkContext.broadcast(_frequent(scanned))
+    frequent = spark.sparkContext.broadcast(_frequent(rows))
 
-    signed = rows.filter("_id is not null").select("_text").mapInArrow(_signer(frequent), "_sig long, _node long, _n long")
+    signed = rows.filter("_id is not null").select("_text").mapInArrow(_signer(frequent), "_sig long, _node long, _n long, _p long, _r long")
     every = Window.partitionBy("_sig")
-    shared = store(
-        signed.withColumn("_low", F.min(F.struct("_node", "_n")).over(every))
-        .withColumn("_last", F.max("_node").over(every))
-        .filter("_low._node <> _last")
-        .select("_sig", "_node", "_n", F.col("_low._node").alias("_leader"), F.col("_low._n").alias("_leader_n"))
-        .distinct()
-    )
-    close = lambda x, y: (F.col(x) * LEAST <= F.col(y) * OF) & (F.col(y) * LEAST <= F.col(x) * OF)
-    first = (
-        shared.filter(F.col("_node") != F.col("_leader"))
-        .filter(close("_n", "_leader_n"))
-        .groupBy("_leader", "_node")
-        .agg(F.count("*").alias("_c"))
-        .groupBy(F.col("_node").alias("_b"))
-        .agg(F.max_by("_leader", F.struct("_c", "_leader")).alias("_a"))
-        .select("_a", "_b")
-    )
-    links = cut(_verify(cut(first), rows, texts_of))
-    labels = connected_components(links)
-
-    grouped = shared.select("_sig", "_node", "_n").join(broadcast_if_small(labels, BROADCAST_NODES), "_node", "left").withColumn("_label", F.coalesce("_label", "_node"))
-    mixed = grouped.groupBy("_sig").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).filter("_low <> _high").select("_sig")
-    open_rows = cut(grouped.join(mixed, "_sig", "left_semi"))
-    left, right = (open_rows.select("_sig", F.col("_node").alias(f"_{k}"), F.col("_n").alias(f"_n{k}"), F.col("_label").alias(f"_l{k}")) for k in "ab")
-    second = left.join(right, "_sig").filter("_a < _b and _la <> _lb").filter(close("_na", "_nb")).select("_a", "_b").distinct()
-    second = cut(second.join(first.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")), ["_a", "_b"], "left_anti"))
-    more = cut(_verify(second, rows, texts_of))
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
+    several = signed.withColumns({"_low": F.min("_node").over(every), "_high": F.max("_node").over(every)}).filter("_low <> _high")
+    shared = store(several.drop("_low", "_high").distinct())
+
+    links, tried, labels = None, None, None
+    for number in range(STAR_ROUNDS + 1):
+        open_rows = _labelled(shared, labels)
+        last = number == STAR_ROUNDS
+        pairs = _all_pairs(store(open_rows)) if last else _star_pairs(open_rows, number)
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["_a", "_b"], "left_anti"))
+        found = cut(_verify(pairs, rows, texts_of))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if found.isEmpty() and labels is not None:
+            continue
+        links = found if links is None else links.unionByName(found)
+        labels = connected_components(links)
 
     labelled = cut(nodes.join(broadcast_if_small(labels, BROADCAST_NODES), "_node", "left").select("_id", "_n", F.coalesce("_label", "_node").alias("_label")))
     linked = labelled.filter("_n > 0")
