@@ -123,6 +123,21 @@ def test_request_plans(spark):
     assert rows[3].indoor and rows[3].most_price == 1200 and rows[4].minutes == 720 and rows[4].stops == 1
 
 
+def test_request_plans_read_whole_user_turns(spark, tmp_path):
+    late = "words that say nothing at all about it, " * 3
+    rows = [
+        (1, 0, "system", "cheap dinner at 7 pm"), (1, 1, "user", late + "cheap dinner at 9:15 pm for AED 80 then a museum"), (1, 2, "assistant", "a bar"), (1, 3, "user", late + "the beach tomorrow; coffee; a park"),
+        (2, 0, "user", late + "free concert"), (3, 0, "user", None),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r for r in catalog.QUERIES["request_plans"](spark, str(tmp_path)).collect()}
+    assert {k for k in got if k[0] >= 0} == {(1, 1), (1, 3), (2, 0), (3, 0)} and len(got) == 4 + len(table_queries.REQUESTS)
+    first, second, third = got[1, 1], got[1, 3], got[2, 0]
+    assert first.cheap and (first.minutes, first.most_price, first.stops, first.categories) == (21 * 60 + 15, 80, 2, "restaurant;museum")
+    assert second.tomorrow and (second.minutes, second.stops, second.categories) == (None, 3, "cafe;park;beach")
+    assert not third.cheap and (third.most_price, third.stops, third.categories) == (0, 1, "concert")
+
+
 def test_streams_agree_with_batches(spark):
     streamed = {(r.user_id, r.started): r.events for r in catalog.QUERIES["streamed_sessions"](spark, SF).collect()}
     batch = {(r.user_id, r.started): r.events for r in catalog.QUERIES["user_sessions"](spark, SF).collect()}

@@ -34,10 +34,10 @@ def categories(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(c)) for c, p in CATEGORIES)))
 
 
-def search_plan(requests: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, flags, minutes, most_price, categories, rest): the plan of each request."""
+def search_plan(requests: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, flags, minutes, most_price, categories, stops, rest): the plan of each request, from its whole text."""
     cut = cut_intents(requests, text)
-    return cut.select(key, *(n for n, _ in CUTS), dates.clock_minutes(F.col(text)).alias("minutes"), pricing.parse_amount(F.col(text)).alias("most_price"), categories(F.col("rest")).alias("categories"), "rest")
+    return cut.select(*keys, *(n for n, _ in CUTS), dates.clock_minutes(F.col(text)).alias("minutes"), pricing.parse_amount(F.col(text)).alias("most_price"), categories(F.col("rest")).alias("categories"), F.size(stops(F.col(text))).alias("stops"), "rest")
 
 
 def stops(text: Column) -> Column:

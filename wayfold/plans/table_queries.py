@@ -317,14 +317,15 @@ SELECT page_id, coalesce(first(allow ORDER BY length(prefix) DESC, allow DESC),
 REQUESTS = ("cheap dinner tonight near me at 7:30 pm", "museum with kids tomorrow, free", "coffee at 10:15 then gallery; park at the weekend", "indoor concert under AED 1,200", "beach at noon then something")
 
 
-def _requests(spark, sf):
-    asked = F.element_at(F.array(*map(F.lit, REQUESTS)), (F.pmod(F.col("conv_id"), F.lit(len(REQUESTS))) + 1).cast("int"))
-    return table(spark, sf, "conversations").filter("turn = 0").select("conv_id", F.concat(asked, F.lit(" "), F.lower(F.substring("text", 1, 40))).alias("asked"))
+#: The grammar's sample requests, which the query adds to the table under negative ids.
+SAMPLE_TURNS = [(k - len(REQUESTS), 0, asked) for k, asked in enumerate(REQUESTS)]
 
 
 def request_plans(spark, sf):
-    got = intent.search_plan(_requests(spark, sf), "conv_id", "asked")
-    return got.withColumns({"categories": F.array_join("categories", ";"), "stops": F.size(intent.stops(F.element_at(F.array(*map(F.lit, REQUESTS)), (F.pmod(F.col("conv_id"), F.lit(len(REQUESTS))) + 1).cast("int"))))})
+    """The plan of every user turn, from its whole text, and of the sample requests."""
+    asked = table(spark, sf, "conversations").filter("role = 'user'").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("text").alias("asked"))
+    got = intent.search_plan(asked.unionByName(spark.createDataFrame(SAMPLE_TURNS, "conv_id long, turn long, asked string")), ["conv_id", "turn"], "asked")
+    return got.withColumn("categories", F.array_join("categories", ";"))
 
 
 def streamed_sessions(spark, sf):
