@@ -338,6 +338,29 @@ def test_html(spark):
     assert html_extract.extract(table.limit(0)).count() == 0
 
 
+def test_html_keeps_the_run_and_sees_through_wrappers(spark):
+    def p(name, n=30):
+        return f"<p>{' '.join([name] * n)}</p>"
+
+    def said(*paragraphs):
+        return "\n".join(" ".join([x] * 30) for x in paragraphs)
+
+    bodies = {
+        1: f"<div>{p('one')}{p('two')}<article>{p('teaser', 30)}</article>{p('three')}</div>",
+        2: f'<div class="layout with-sidebar"><article>{p("one")}{p("two")}</article><div class="sidebar">{p("away")}</div></div>',
+        3: f"<form><nav>{p('away')}</nav><div><main>{p('one')}</main></div></form>",
+        4: f"<form><h1>{' '.join(['one'] * 30)}</h1>{p('two')}</form><form>{p('away')}</form>",
+        5: f"<nav>{p('away')}</nav><div>{p('one')}{p('two')}{p('three')}</div><footer>{p('away')}</footer>",
+        6: f'<div>{p("one")}<article>{p("two")}</article></div><div class="related"><article>{p("away")}</article></div>',
+        7: f'<div class="related"><article>{p("one")}</article></div>',
+    }
+    table = spark.createDataFrame([(k, "u", f"<html><body>{b}</body></html>") for k, b in bodies.items()], "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_extract.extract(table).collect()}
+    assert out[1] == said("one", "two", "teaser", "three") and out[2] == said("one", "two") and out[3] == said("one")
+    assert out[4] == said("one", "two") and out[5] == said("one", "two", "three")
+    assert out[6] == said("one", "two") and out[7] == said("one")
+
+
 def test_language_id(spark, docs, edge):
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     out = language_id.predict_languages(docs, fold != 2).join(docs.filter(fold == 2).select("doc_id", "lang"), "doc_id").collect()

@@ -6,10 +6,11 @@ from labelled pages: pages that mark their own main text by an ``article`` or ``
 tag's weight is the log ratio of its rate per word inside and outside the marked text, a word's weight
 that of linked and unlinked words, on at most ``TRAIN_PAGES`` pages with the smallest hashes of their id.
 
-Text of elements that can't be article text (``OUTSIDE`` tags, and elements whose class, id or role
-names one of ``OUTSIDE_NAMES``) scores nothing and is never returned, wherever it stands. The run is
-then widened to the article or main element it touches, so that a short last paragraph is not lost to
-the tags around it.
+Text of elements that can't be article text (``OUTSIDE`` tags, and elements with a class, id or role
+all of whose words are ``OUTSIDE_NAMES``) scores nothing and is never returned, wherever it stands. Forms
+and elements so named that enclose the main text are wrappers and don't count (see ``_wrappers``). The
+run is then widened by the article or main elements it touches, so that a short last paragraph is not
+lost to the tags around it; nothing of the run is given up for them.
 
 Character references are decoded, white space in a block becomes one space, blocks are trimmed,
 empty ones left out, and the rest joined in page order by one newline. Unclosed elements are closed as
@@ -56,13 +57,14 @@ _WORDS = re.compile(r"\S+")
 class Block:
     """Text between two block-level tags, the tags before it, and where it stands."""
 
-    __slots__ = ("parts", "linked", "tags", "outside", "main")
+    __slots__ = ("parts", "linked", "tags", "away", "outside", "main")
 
-    def __init__(self, outside: bool, main: int):
+    def __init__(self, away: tuple[int, ...], main: int):
         self.parts: list[str] = []
         self.linked = 0
         self.tags: list[str] = []
-        self.outside = outside
+        self.away = away
+        self.outside = bool(away)
         self.main = main
 
     def text(self) -> str:
@@ -71,24 +73,36 @@ class Block:
 
 def _names_outside(attributes: str) -> bool:
     for groups in _NAMING.findall(attributes):
-        if not OUTSIDE_NAMES.isdisjoint(re.split(r"[^a-z]+", "".join(groups).lower())):
-            return True
-    return bool(_HIDDEN.search(attributes))
+        for token in "".join(groups).lower().split():
+            words = set(filter(None, re.split(r"[^a-z]+", token)))
+            if words and words <= OUTSIDE_NAMES:
+                return True
+    return False
+
+
+def _wrappers(found: list[Block], enclosing: dict[str, set[int]]) -> set[int]:
+    """Forms and named elements that enclose the main text: those around a main element, forms around an h1, and
+    those around an article if no article or main element stands free (else it is a teaser in a list)."""
+    free = any(b.main and not b.away for b in found)
+    return enclosing["main"] | enclosing["h1"] | (set() if free else enclosing["article"])
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, empty ones included (their tags count)."""
     stack: list[tuple[str, bool, bool]] = []  # name, outside, main
     open_names: Counter[str] = Counter()
-    outside = links = articles = mains = 0
-    current = Block(False, 0)
+    away_now: list[tuple[int, str]] = []  # number and kind (tag, form, named) of the open elements that are outside
+    enclosing: dict[str, set[int]] = {"main": set(), "article": set(), "h1": set()}
+    numbered = links = articles = mains = 0
+    current = Block((), 0)
     found = [current]
 
     def close() -> None:
-        nonlocal outside, links, mains
+        nonlocal links, mains
         name, was_outside, was_main = stack.pop()
         open_names[name] -= 1
-        outside -= was_outside
+        if was_outside:
+            away_now.pop()
         links -= name == "a"
         mains -= was_main
 
@@ -130,16 +144,31 @@ def blocks(page: str) -> list[Block]:
             is_main = name in MAIN
             if is_main and not mains:
                 articles += 1
-            away = name in OUTSIDE or name == "header" and not mains or not (is_main or name in ("body", "html")) and bool(m[4]) and _names_outside(m[4])
-            stack.append((name, away, is_main))
+            if name in enclosing and not any(kind == "tag" for _, kind in away_now):
+                enclosing[name].update(n for n, kind in away_now if kind == "form" or kind == "named" and is_main)
+            styled = bool(m[4]) and not (is_main or name in ("body", "html"))
+            away = ""
+            if name in OUTSIDE and name != "form" or name == "header" and not mains or styled and _HIDDEN.search(m[4]):
+                away = "tag"
+            elif styled and _names_outside(m[4]):
+                away = "named"
+            elif name == "form":
+                away = "form"
+            stack.append((name, bool(away), is_main))
             open_names[name] += 1
-            outside += away
+            if away:
+                numbered += 1
+                away_now.append((numbered, away))
             links += name == "a"
             mains += is_main
         if block:
-            current = Block(outside > 0, articles if mains else 0)
+            current = Block(tuple(n for n, _ in away_now), articles if mains else 0)
             found.append(current)
         current.tags.append(name)
+    wrappers = _wrappers(found, enclosing)
+    if wrappers:
+        for b in found:
+            b.outside = not wrappers.issuperset(b.away)
     return found
 
 
@@ -186,11 +215,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     found = blocks(page)
     first, end = best_run(found, weights)
     touched = {b.main for b in found[first:end] if b.main and not b.outside}
-    if touched:
-        chosen = [b for b in found if b.main in touched]
-    else:
-        chosen = found[first:end]
-    texts = (b.text() for b in chosen if not b.outside)
+    texts = (b.text() for k, b in enumerate(found) if (first <= k < end or b.main in touched) and not b.outside)
     return "\n".join(t for t in texts if t)
 
 
