@@ -347,6 +347,24 @@ def test_chat_rewriting_template_is_flagged():
     assert spans == [("hi", "user"), ("yo", "assistant")]
 
 
+def test_chat_history_template_over_many_turns(spark):
+    def numbered(messages):
+        assert not messages or messages[0][0] == "system"
+        return "".join(f"#{k} {r}: {t}\n" for k, (r, t) in enumerate(messages))
+
+    def late_rewrite(messages):
+        return "".join(f"{r}: {'cut' if k == 0 and len(messages) > 70 else t};" for k, (r, t) in enumerate(messages))
+
+    own = [("system", "rules"), *(("assistant" if k % 2 else "user", f"turn {k}") for k in range(99))]
+    rows = spark.createDataFrame([(1, k, *m) for k, m in enumerate(own)], "conv_id long, turn long, role string, text string")
+    got = sorted(chat_format.format_chats(rows, numbered).collect(), key=lambda r: r.position)
+    whole = numbered(own)
+    assert "".join(r.piece for r in got) == whole and not any(r.rewrites_history for r in got)
+    assert [whole[r.loss_start : r.loss_end] for r in got if r.role == "assistant"] == [t for r, t in own if r == "assistant"]
+    assert [k for k, x in enumerate(chat_format.incremental(iter(own), late_rewrite)) if x[4]] == [70]
+    assert list(chat_format.incremental(iter(own))) == list(chat_format.incremental(iter(own), turn_local=False))
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header>Site</header><nav><a href=x>Home</a></nav>
 <div class="cookie-notice">We use cookies</div><{main}><h1>Head &amp; line</h1><p>First <b>bold</b>
  words &lt;here&gt;<p>Second para, a b c d e f<div class='ad'>Buy now</div><p>Ti.</{main}>

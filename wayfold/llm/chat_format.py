@@ -6,16 +6,18 @@ the one before, the template rewrites history: the turn is flagged, and its span
 outputs part. Where a turn's text lies inside its span is found by rendering the turn once more with a
 probe character for its text.
 
-Long conversations are rendered in windows: after ``WINDOW`` turns the older half leaves the prefix, so
-that the work per turn and the memory of a task stay bounded. Conversations of up to ``WINDOW`` turns are
-rendered from their first turn throughout.
+Every turn is rendered behind the whole conversation before it, so that a black-box template sees what
+it would see anywhere; a task then holds one conversation, and the work grows with the square of its turns.
+A template that renders each turn by itself, as the one here does, can be declared turn-local
+(``turn_local=True``): after ``WINDOW`` turns the older half leaves its prefix, which changes no piece,
+and the work per turn and the memory of a task stay bounded.
 
 The template here writes ``<s>[role] text [/role]</s>`` for each turn. In roles and texts the four
 characters ``\\ < [ ]`` are escaped by a backslash and a letter, so that no control string can occur in
 them, and ``read_back`` undoes it. Assistant texts are under the loss mask.
 
-Turns are dealt by conversation and sorted within partitions; a conversation is read as a stream and is
-never held as a whole. Defined cases: a null text or role counts as empty; rows with equal turn are ordered
+Turns are dealt by conversation and sorted within partitions; a conversation is read as a stream and, with
+a turn-local template, never held as a whole. Defined cases: a null text or role counts as empty; rows with equal turn are ordered
 by role, then text; null turns come first; rows with a null conversation id form one conversation;
 an empty table gives no rows.
 """
@@ -69,8 +71,12 @@ def read_back(output: str) -> list[Message]:
     return turns
 
 
-def incremental(messages: Iterator[Message], template: Callable[[list[Message]], str] = render, window: int = WINDOW) -> Iterator[tuple[str, str, int, int, bool]]:
-    """(role, piece, text start, text end, rewrites) for each turn; text positions are within the piece, -1 if not found."""
+def incremental(messages: Iterator[Message], template: Callable[[list[Message]], str] = render, window: int = WINDOW, turn_local: bool | None = None) -> Iterator[tuple[str, str, int, int, bool]]:
+    """(role, piece, text start, text end, rewrites) for each turn; text positions are within the piece, -1 if not found.
+
+    Only a turn-local template is rendered in windows; None means that ``render`` is one and others are not.
+    """
+    windowed = template is render if turn_local is None else turn_local
     prefix: list[Message] = []
     before = template(prefix)
     for role, text in messages:
@@ -84,7 +90,7 @@ def incremental(messages: Iterator[Message], template: Callable[[list[Message]],
         fits = at >= 0 and at + tail <= len(piece) and piece.startswith(probed[:at]) and piece.endswith(probed[len(probed) - tail :])
         yield role, piece, at if fits else -1, len(piece) - tail if fits else -1, rewrites
         prefix.append((role, text))
-        if len(prefix) >= window:
+        if windowed and len(prefix) >= window:
             prefix = prefix[window // 2 :]
             before = template(prefix)
         else:
@@ -114,12 +120,12 @@ def _by_conversation(rows: Iterator[tuple]) -> Iterator[tuple[int | None, Iterat
     return groupby(rows, key=lambda r: r[0])
 
 
-def _format(template: Callable[[list[Message]], str], window: int):
+def _format(template: Callable[[list[Message]], str], window: int, turn_local: bool):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for conv, rows in _by_conversation(_rows(batches)):
             at = 0
-            for k, (role, piece, a, b, rewrites) in enumerate(incremental(((r or "", t or "") for _, r, t in rows), template, window)):
+            for k, (role, piece, a, b, rewrites) in enumerate(incremental(((r or "", t or "") for _, r, t in rows), template, window, turn_local)):
                 loss = (at + a, at + b) if role == LOSS_ROLE and a >= 0 else (None, None)
                 out.append((conv, k, role, piece, at, at + len(piece), *loss, rewrites))
                 at += len(piece)
@@ -153,13 +159,15 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def format_chats(
-    turns: DataFrame, template: Callable[[list[Message]], str] = render, window: int = WINDOW, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
-) -> DataFrame:
+    turns: DataFrame, template: Callable[[list[Message]], str] = render, window: int = WINDOW, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
+    turn_local: bool | None = None,
+) -> DataFrame:
     """One row per turn, in order within partitions: conv_id, position, role, piece (what the turn adds to the output),
-    start and end in the output, loss_start and loss_end (assistant text), rewrites_history."""
+    start and end in the output, loss_start and loss_end (assistant text), rewrites_history. ``turn_local`` as in ``incremental``."""
+    local = template is render if turn_local is None else turn_local
     rows = turns.select(F.col(conv_col).alias("_conv"), F.col(turn_col).alias("_turn"), F.col(role_col).alias("_role"), F.col(text_col).alias("_text"))
     dealt = rows.repartition("_conv").sortWithinPartitions("_conv", "_turn", "_role", "_text").select("_conv", "_role", "_text")
-    return dealt.mapInArrow(_format(template, window), _PIECES)
+    return dealt.mapInArrow(_format(template, window, local), _PIECES)
 
 
 def digest_chats(pieces: DataFrame) -> DataFrame:
