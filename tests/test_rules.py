@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold import catalog
 from wayfold.functions import dates, hours, pricing, tags, text, urls
-from wayfold.plans import intent
+from wayfold.plans import evening, intent
 from wayfold.sources.tables import located, suppliers, table
 
 SF = "/root/testdata/sf0.001"
@@ -86,6 +86,26 @@ def test_evening_plans_take_the_nearest_unused(spark):
             at = (best.lat, best.lon)
 
 
+def test_evening_plans_search_all_places(spark):
+    places = [(k, "bar", 25.0 + k % 5 * 0.01, 55.0 + k % 7 * 0.01) for k in range(30)]
+    places += [(100, "museum", 25.9, 56.0), (101, "museum", -33.0, 151.0), (102, "museum", 0.05, -179.95), (103, "park", 25.05, 55.199), (104, "park", 25.201, 55.05), (105, "park", 25.151, 55.099)]
+    requests = [(1, 25.01, 55.01), (2, 25.0999, 55.0999), (3, -20.0, 140.0), (4, 0.0, 179.9), (5, 25.05, 55.05), (6, 80.0, -100.0), (7, 25.0999, 55.0001)]
+    wanted = ["park", "museum", "bar", "museum", "none", "park", "museum", "museum"]
+    asked = spark.createDataFrame([(*r, 1080, wanted) for r in requests], "request long, lat double, lon double, start int, categories array<string>")
+    table_ = spark.createDataFrame(places, "place long, category string, lat double, lon double")
+    got = {(r.request, r.stop): r.place for r in evening.plan_stops(asked, table_, len(wanted)).collect()}
+    expected = {}
+    for request, *at in requests:
+        used = set()
+        for stop, category in enumerate(wanted, 1):
+            left = [p for p in places if p[1] == category and p[0] not in used]
+            if left:
+                best = min(left, key=lambda p: (km(*at, p[2], p[3]), p[0]))
+                expected[request, stop], at = best[0], best[2:]
+                used.add(best[0])
+    assert got == expected
+
+
 def test_event_dedupe_is_greedy(spark):
     from wayfold.sources.tables import calendar
 
