@@ -115,6 +115,26 @@ def test_top_five_is_greedy(spark):
             left.remove(best)
 
 
+def test_top_five_sees_every_card(spark, monkeypatch):
+    rows = [(1, k, 1000.0 - k / 1000, "a", "x", "p", 1.0, 1.0) for k in range(250)] + [(1, 900, 990.0, "b", "y", "q", 1.0, 1.0)]
+    cards = spark.createDataFrame(rows, "query long, card long, score double, category string, lead string, provider string, quality double, km double")
+    monkeypatch.setattr(table_queries, "_cards", lambda *_: cards)
+    assert {r.place: r.card for r in catalog.QUERIES["top_five"](spark, SF).collect()} == {1: 0, 2: 900, 3: 1, 4: 2, 5: 3}
+
+
+def test_quantile_ranks_read_no_group_in_one_task(spark):
+    rows = [("a", float(k * 7919 % 1000 // 3)) for k in range(1000)] + [("b", 5.0)] * 40 + [(None, 2.0), (None, 1.0), ("a", None), ("c", None)]
+    table_ = spark.createDataFrame(rows, "g string, v double")
+    expected = {}
+    for g in ("a", "b", None):
+        v = sorted(x for h, x in rows if h == g and x is not None)
+        expected[g] = (len(v), v[len(v) // 2], v[int(len(v) * 0.95)], v[-1])
+    ranks = rank.quantile_ranks(table_, "g", "v", {"p50": 0.5, "p95": 0.95})
+    assert {r.g: (r.n, r.p50, r.p95, r.most) for r in ranks.collect()} == expected
+    plan = catalog.QUERIES["latency_ranks"](spark, SF)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
 def test_request_plans(spark):
     rows = {r.conv_id % 5: r for r in catalog.QUERIES["request_plans"](spark, SF).collect()}
     assert rows[0].cheap and rows[0].tonight and rows[0].near and rows[0].minutes == 19 * 60 + 30 and "restaurant" in rows[0].categories

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators.lineage import cut
+
 # Penalties between two cards of one answer.
 SAME_CATEGORY, SAME_LEAD, SAME_PROVIDER = 10.0, 7.0, 2.0
 
@@ -40,8 +42,11 @@ def final_order(cards: DataFrame, query: str, keep: int) -> DataFrame:
 def diversified(cards: DataFrame, keep: int = 5) -> DataFrame:
     """(query, place, card, gain): greedily the card with the largest score minus penalties against those chosen.
 
-    Every step depends on the steps before, so a query's candidates meet in one group; ``final_order`` bounds them first.
+    Every step depends on the steps before, so a query's candidates meet in one group. Cards of equal category, lead and
+    provider have equal penalties throughout, so only the best ``keep`` of each such kind can be chosen and go there.
     """
+    kind = Window.partitionBy("query", "category", "lead", "provider").orderBy(F.desc("score"), "card")
+    cards = cards.withColumn("_n", F.row_number().over(kind)).filter(F.col("_n") <= keep)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         left = list(pdf.sort_values(["score", "card"], ascending=[False, True]).itertuples(index=False))
@@ -57,3 +62,23 @@ def diversified(cards: DataFrame, keep: int = 5) -> DataFrame:
         return pd.DataFrame(out, columns=["query", "place", "card", "gain"])
 
     return cards.select("query", "card", "score", "category", "lead", "provider").groupBy("query").applyInPandas(choose, "query long, place int, card long, gain double")
+
+
+def quantile_ranks(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, n, most, one column per share): the value at place floor(n * share) + 1 among a group's values that aren't null.
+
+    Equal values are counted, and the counts dealt by ranges of group and value, so that no group is gathered in a task: sums of
+    the ranges, which are few, tell in which range a place is, and only that range is added up row by row.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
+    ranged = cut(counts.repartitionByRange(group, value).withColumn("_p", F.spark_partition_id()))
+    ahead = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(group)
+    sums = ranged.groupBy(group, "_p").agg(F.sum("_c").alias("_s"), F.max(value).alias("_most"))
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_s").over(ahead), F.lit(0)), "n": F.sum("_s").over(every), "most": F.max("_most").over(every)})
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), (F.floor(F.col("n") * share) + 1).alias("at")) for name, share in shares.items())))
+    aims = sums.withColumn("_a", wanted).filter("_a.at > _before and _a.at <= _before + _s").select(F.col(group).alias("_g"), F.col("_p").alias("_q"), "n", "most", "_before", "_a")
+    hit = ranged.join(F.broadcast(aims), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(group, "_p", "_a.name").orderBy(value))
+    found = hit.withColumn("_upto", upto).filter("_upto >= _a.at and _upto - _c < _a.at")
+    return found.groupBy(group, "n", "most").agg(*(F.max(F.when(F.col("_a.name") == name, F.col(value))).alias(name) for name in shares))

@@ -206,7 +206,7 @@ SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY scor
 
 
 def top_five(spark, sf):
-    return rank.diversified(rank.final_order(_cards(spark, sf), "query", 200))
+    return rank.diversified(_cards(spark, sf))
 
 
 def learned_taste(spark, sf):
@@ -249,9 +249,8 @@ SELECT event_id, age, CASE WHEN age <= 3600 THEN 'fresh' WHEN age <= 21600 THEN
 
 
 def latency_ranks(spark, sf):
-    rows = table(spark, sf, "events").groupBy("event_type").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    at = lambda p: F.round(F.element_at("v", (F.floor(F.size("v") * p) + 1).cast("int")), 6)
-    return rows.select("event_type", F.size("v").cast("long").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.round(F.array_max("v"), 6).alias("most"))
+    values = table(spark, sf, "events").filter("value is not null").select("event_type", "value")
+    return rank.quantile_ranks(values, "event_type", "value", {"p50": 0.5, "p95": 0.95}).select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "most")))
 
 
 LATENCY_RANKS = """
