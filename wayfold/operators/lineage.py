@@ -1,16 +1,29 @@
-"""Cutting lineage in iterative operators."""
+"""Cutting lineage in iterative operators, and broadcasts behind a check of size."""
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame
+#: Rows up to which a table whose size has been counted is broadcast.
+BROADCAST_ROWS = 100_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder; a temporary one is set only where there is none."""
-    context = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; where none is set, a folder of the warehouse, which executors share too."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="wayfold-checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if a count proves that it has at most ``rows`` rows, else as it is; it should be cheap to count."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators.lineage import broadcast_if_small, cut
+
 
 def nearest_per_group(rows: DataFrame, group: str, order: Column, key: str, k: int) -> DataFrame:
     """The ``k`` rows with the smallest order in each group, ties by key, with their rank."""
@@ -13,10 +15,14 @@ def nearest_per_group(rows: DataFrame, group: str, order: Column, key: str, k: i
 
 
 def all_tokens(postings: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(query, key) for the keys that have every token of a query. ``postings``: (token, key); ``wanted``: (query, token), few rows."""
-    need = wanted.groupBy("query").agg(F.countDistinct("token").alias("need"))
-    hits = postings.join(F.broadcast(wanted.distinct()), "token").groupBy("query", "key").agg(F.countDistinct("token").alias("have"))
-    return hits.join(F.broadcast(need), "query").filter("have = need").select("query", "key")
+    """(query, key) for the keys that have every token of a query. ``postings``: (token, key), repeats allowed; ``wanted``: (query, token).
+
+    Tokens that no query asks for leave in the scan when the wanted ones are few enough to be broadcast.
+    """
+    need = F.count("*").over(Window.partitionBy("query"))
+    wanted = cut(wanted.distinct().withColumn("need", need))
+    hits = postings.join(broadcast_if_small(wanted), "token").groupBy("query", "key", "need").agg(F.countDistinct("token").alias("have"))
+    return hits.filter("have = need").select("query", "key")
 
 
 def first_stage_wins(stages: list[DataFrame], key: str, order: str) -> DataFrame:

@@ -73,9 +73,11 @@ FROM part"""
 
 
 def text_tokens(spark, sf):
-    words = text.tokens(text.normal_rank(F.col("text")))
-    d = table(spark, sf, "documents").select("doc_id", F.explode(words).alias("word"))
-    return d.select("doc_id", text.stem(F.col("word")).alias("stem")).groupBy("stem").agg(F.count("*").alias("uses"), F.countDistinct("doc_id").alias("docs")).filter("docs >= 5")
+    stems = F.transform(text.tokens(text.normal_rank(F.col("text"))), text.stem).alias("stems")
+    d = table(spark, sf, "documents").filter("doc_id is not null").select(stems)
+    told = lambda words, uses, docs: F.transform(words, lambda s: F.struct(s.alias("stem"), F.lit(uses).alias("uses"), F.lit(docs).alias("docs")))
+    rows = d.select(F.inline(F.concat(told(F.col("stems"), 1, 0), told(F.array_distinct("stems"), 0, 1))))
+    return rows.groupBy("stem").agg(F.sum("uses").alias("uses"), F.sum("docs").alias("docs")).filter("docs >= 5")
 
 
 TEXT_TOKENS = r"""
@@ -98,17 +100,20 @@ FROM customer"""
 
 
 def text_similarity(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_brand", F.lower("p_type").alias("a"))
-    q = p.select("p_brand", F.col("p_partkey").alias("other_key"), F.col("a").alias("b"))
-    return p.join(q, "p_brand").filter("p_partkey < other_key and p_partkey + 40 > other_key").select("p_partkey", "other_key", F.round(text.name_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    """Pairs of different names of a brand that share a word or contain each other, with the parts that have them as counts."""
+    p = table(spark, sf, "part").groupBy("p_brand", F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("a")).agg(F.count("*").alias("a_parts"))
+    words = p.select("p_brand", "a", "a_parts", F.explode(F.array_distinct(F.split("a", " "))).alias("word"))
+    others = words.select("p_brand", "word", F.col("a").alias("b"), F.col("a_parts").alias("b_parts"))
+    pairs = words.join(others, ["p_brand", "word"]).filter("a < b").select("p_brand", "a", "b", "a_parts", "b_parts").distinct()
+    return pairs.select("*", F.round(text.name_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
 TEXT_SIMILARITY = """
-WITH p AS (SELECT p_partkey, p_brand, lower(p_type) AS a FROM part), j AS (
-  SELECT p.p_partkey, q.p_partkey AS other_key, p.a, q.a AS b, list_distinct(string_split(p.a, ' ')) AS ta, list_distinct(string_split(q.a, ' ')) AS tb
-  FROM p JOIN p q USING (p_brand) WHERE p.p_partkey < q.p_partkey AND p.p_partkey + 40 > q.p_partkey)
-SELECT p_partkey, other_key, round(CASE WHEN a = b THEN 1.0::DOUBLE WHEN contains(a, b) OR contains(b, a) THEN 0.9::DOUBLE
-  ELSE len(list_intersect(ta, tb))::DOUBLE / least(len(ta), len(tb)) * 0.8::DOUBLE END, 6) AS similarity FROM j"""
+WITH p AS (SELECT p_brand, lower(p_type || ' ' || p_name) AS a, count(*) AS a_parts FROM part GROUP BY ALL), j AS (
+  SELECT p_brand, p.a, q.a AS b, p.a_parts, q.a_parts AS b_parts, list_distinct(string_split(p.a, ' ')) AS ta, list_distinct(string_split(q.a, ' ')) AS tb
+  FROM p JOIN p q USING (p_brand) WHERE p.a < q.a)
+SELECT p_brand, a, b, a_parts, b_parts, round(CASE WHEN a = b THEN 1.0::DOUBLE WHEN contains(a, b) OR contains(b, a) THEN 0.9::DOUBLE
+  ELSE len(list_intersect(ta, tb))::DOUBLE / least(len(ta), len(tb)) * 0.8::DOUBLE END, 6) AS similarity FROM j WHERE len(list_intersect(ta, tb)) > 0"""
 
 
 def url_parts(spark, sf):

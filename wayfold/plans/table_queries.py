@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import geo
 from wayfold.operators import calendar as cal
 from wayfold.operators import rank, resolve, snapshot, state
+from wayfold.operators.lineage import broadcast_if_small
 from wayfold.plans import intent
 from wayfold.sources import web
 from wayfold.sources.tables import CENTRE, SQL_CALENDAR, SQL_CUSTOMERS, SQL_SUPPLIERS, calendar, customers, sql_km, suppliers, table
@@ -19,7 +20,7 @@ def nearest_suppliers(spark, sf):
     order = geo.planar_order(F.col("lat"), F.col("lon"), F.lit(CENTRE[0]), F.lit(CENTRE[1]))
     km = geo.haversine_km(F.col("lat"), F.col("lon"), F.lit(CENTRE[0]), F.lit(CENTRE[1]))
     near = snapshot.nearest_per_group(suppliers(spark, sf), "s_nationkey", order, "s_suppkey", 3)
-    return near.join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", "rank", "s_suppkey", F.round(km, 6).alias("km"))
+    return near.join(broadcast_if_small(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", "rank", "s_suppkey", F.round(km, 6).alias("km"))
 
 
 NEAREST_SUPPLIERS = f"""
@@ -30,7 +31,8 @@ SEARCHES = [(1, "the"), (1, "and"), (2, "der"), (2, "und"), (3, "thing"), (3, "o
 
 
 def token_search(spark, sf):
-    words = F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("token")
+    asked = sorted({token for _, token in SEARCHES})
+    words = F.explode(F.array_intersect(F.split(F.lower("text"), "[^a-z]+"), F.array(*map(F.lit, asked)))).alias("token")
     postings = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), words)
     return snapshot.all_tokens(postings, spark.createDataFrame(SEARCHES, "query long, token string"))
 

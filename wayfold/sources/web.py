@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.operators.lineage import broadcast_if_small, cut
+
 
 def strip_markup(html: Column) -> Column:
     """Text without scripts, styles, comments and tags, the five basic entities decoded, white space squeezed."""
@@ -34,10 +36,16 @@ def anchors(pages: DataFrame) -> DataFrame:
 
 
 def robots_allowed(paths: DataFrame, rules: DataFrame, key: str, path: str) -> DataFrame:
-    """(key, allowed): the longest rule that begins the path decides, an allowing one on ties; without a rule it is allowed. ``rules``: (prefix, allow), few rows."""
-    hit = F.broadcast(rules)
-    matched = paths.join(hit, F.startswith(paths[path], hit["prefix"]), "left")
-    return matched.groupBy(key).agg(F.coalesce(F.max_by("allow", F.struct(F.length("prefix"), "allow")), F.lit(True)).alias("allowed"))
+    """(key, allowed): the longest rule that begins the path decides, an allowing one on ties; without a rule it is allowed.
+
+    ``rules``: (prefix, allow). A path is cut to every length that a rule has, so that the join is an equi-join on the prefix.
+    """
+    rules = cut(rules.groupBy("prefix").agg(F.max("allow").alias("allow")))
+    lengths = rules.select(F.length("prefix").alias("n")).distinct().agg(F.array_sort(F.collect_set("n")).alias("lengths"))
+    begun = paths.select(key, path).join(F.broadcast(lengths)).select(key, F.explode_outer(F.filter("lengths", lambda n: n <= F.length(path))).alias("n"), path)
+    cut_to = begun.select(key, F.substring(path, F.lit(1), F.col("n")).alias("prefix"))
+    matched = cut_to.join(broadcast_if_small(rules), "prefix", "left")
+    return matched.groupBy(key).agg(F.coalesce(F.max_by("allow", F.when(F.col("allow").isNotNull(), F.length("prefix"))), F.lit(True)).alias("allowed"))
 
 
 def json_ld(pages: DataFrame, key: str, html: str, schema: str) -> DataFrame:

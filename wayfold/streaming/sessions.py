@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wayfold.operators.lineage import checkpoint_dir
+
 LIMIT = 5.0
 
 
@@ -49,9 +50,7 @@ def learn_taste(events: DataFrame, key: str, order: list[str], step: str) -> Dat
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and returns its output, written as Parquet below the checkpoint folder."""
-    context = stream.sparkSession.sparkContext
-    base = context.getCheckpointDir() or tempfile.mkdtemp(prefix="wayfold-streams-")
-    path = f"{base}/streams/{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(stream.sparkSession)}/streams/{uuid.uuid4().hex}"
 
     def save(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(f"{path}/out")
