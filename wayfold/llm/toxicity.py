@@ -6,21 +6,23 @@ The expected severity is the sum over k of P(grade > k); a text is rejected if P
 ``REJECT_FROM``.
 
 The model is fitted in numpy by Adagrad on at most ``TRAIN_ROWS`` labelled rows, those with the
-smallest hashes of their id, so that reruns agree; scoring covers whole texts of all rows. Features
-whose occurrence depends on the label only as chance allows (a likelihood ratio below ``LEAST_G2``)
-get no weight. Labels of the test tables only tell toxic from clean. Their severity grades 1 and 2 are
-told apart by the share of telling features (at least ``TELLING_ODDS`` times likelier in toxic than in
-clean rows of the sample) among a row's features: above the median of toxic rows it is grade 2. Rows
-with grades of their own can be fitted directly with ``fit``. To learn single telling words, not only
-their company, toxic rows are shown with a random part of their features left out.
+smallest hashes of their id, so that reruns agree; scoring covers whole texts of all rows. If there are more, toxic rows
+make up to half of the sample, and the thresholds are moved by the logarithm of how much more clean rows were left
+out, which undoes the choice. Features get no weight if they depend on the label only as chance allows (a likelihood ratio
+below ``LEAST_G2``) or are less than ``LEANING_ODDS`` times likelier in toxic rows: plain words beside a slur
+must not outweigh it. Labels above 1 are grades and are fitted as they are. Where labels only tell toxic from clean, grades
+1 and 2 are told apart by the share of telling features (at least ``TELLING_ODDS`` times likelier in toxic than in
+clean rows of the sample) among a row's features: above the median of toxic rows it is grade 2. To learn single telling
+words, not only their company, toxic rows are shown with a random part of their features left out.
 
 Defined cases: null and empty texts have no features and get the clean grade; labels without a
 document, null labels and repeated labels of a row (the larger counts) are handled; without any
-labelled row of both kinds nothing is rejected.
+labelled row of both kinds nothing is rejected; repeated rows are graded alike; very long texts are scored whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +40,7 @@ LEAST_G2, LEAST_ROWS = 12.0, 3
 EPOCHS = 30
 RATE = 0.5
 SHRINK = 2e-5
-TELLING_ODDS = 20.0
+TELLING_ODDS, LEANING_ODDS = 20.0, 5.0
 REJECT_FROM = 0.5
 SEED = 7
 
@@ -85,11 +87,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def telling_features(toxic: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Which features depend on the label, and which are far likelier in toxic rows."""
+    """Which features depend on the label and lean to toxic rows, and which are far likelier in them."""
     size = 1 << BUCKET_BITS
-    n = np.array([(toxic == 0).sum(), (toxic == 1).sum()], float)
+    n = np.array([(toxic == 0).sum(), (toxic > 0).sum()], float)
     within = np.zeros((2, size))
-    for t, w in zip(toxic, words):
+    for t, w in zip(np.minimum(toxic, 1), words):
         within[t, w] += 1
     rate = within.sum(0) / n.sum()
     g2 = np.zeros(size)
@@ -98,7 +100,7 @@ def telling_features(toxic: np.ndarray, words: list[np.ndarray]) -> tuple[np.nda
             some = seen > 0
             g2[some] += 2 * seen[some] * np.log(seen[some] / expected[some])
     share = (within + 0.5) / (n + 1)[:, None]
-    depends = (g2 >= LEAST_G2) & (within.sum(0) >= LEAST_ROWS)
+    depends = (g2 >= LEAST_G2) & (within.sum(0) >= LEAST_ROWS) & (share[1] > LEANING_ODDS * share[0])
     return depends, depends & (share[1] > TELLING_ODDS * share[0])
 
 
@@ -142,16 +144,23 @@ def fit(features: list[np.ndarray], grades: np.ndarray, seed: int = SEED) -> Ord
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> OrdinalModel:
     named = labels.filter(F.col(id_col).isNotNull() & F.col(toxic_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(toxic_col).cast("int").alias("_toxic"))
-    sample = named.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
+    named = named.filter("_toxic >= 0")
+    kinds = dict(named.groupBy((F.col("_toxic") > 0).alias("kind")).count().collect())
+    toxic_rows = min(kinds.get(True, 0), max(train_rows // 2, train_rows - kinds.get(False, 0)))
+    clean_rows = min(kinds.get(False, 0), train_rows - toxic_rows)
+    first = lambda part, n: named.filter(part).orderBy(F.xxhash64("_id"), "_id").limit(n)
+    sample = first("_toxic > 0", toxic_rows).unionByName(first("_toxic = 0", clean_rows))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_toxic", "_text")
     got = rows.mapInArrow(_gather, "_toxic int, _words binary").toArrow().to_pydict()
     words = [np.frombuffer(w, np.int32) for w in got["_words"]]
     order = sorted(range(len(words)), key=lambda i: (got["_toxic"][i], got["_words"][i]))
-    toxic, words = np.array([min(got["_toxic"][i], 1) for i in order], int), [words[i] for i in order]
-    if not 0 < toxic.sum() < toxic.size:
+    toxic, words = np.array([got["_toxic"][i] for i in order], int), [words[i] for i in order]
+    if not 0 < (toxic > 0).sum() < toxic.size:
         return OrdinalModel(np.zeros(1 << BUCKET_BITS), np.array([50.0, 60.0]))
     depends, telling = telling_features(toxic, words)
-    return fit([w[depends[w]] for w in words], split_grades(toxic, words, telling))
+    model = fit([w[depends[w]] for w in words], toxic if toxic.max() > 1 else split_grades(toxic, words, telling))
+    left_out = math.log(kinds[False] / clean_rows * toxic_rows / kinds[True])
+    return OrdinalModel(model.weights, model.thresholds + left_out)
 
 
 def _scorer(model):
