@@ -17,7 +17,8 @@ empty ones left out, and the rest joined in page order by one newline. Unclosed
 browsers do: a new block ends an open paragraph, a new item an open item, an end tag all it encloses.
 
 Defined cases: null and empty html, and pages without words, give an empty text; a ``<`` that begins no
-tag is text; an unclosed comment, script or style reaches to the end; repeated pages are all returned.
+tag is text; an unclosed comment, script, style or tag reaches to the end, and so does a quoted attribute without its
+closing quote; very long pages take time in proportion; repeated pages are all returned.
 """
 
 from __future__ import annotations
@@ -48,9 +49,14 @@ OUTSIDE_NAMES = frozenset(
 )
 MAIN = frozenset(("article", "main"))
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
-_NAMING = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)", re.I)
+# Every alternative that begins with a tag's name reaches its end or the page's, without going back: time is linear.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?>[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<",
+    re.S | re.I,
+)
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/]++)(?:\s*+=\s*+(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?", re.S)
+_NAMING = frozenset(("class", "id", "role"))
 _WORDS = re.compile(r"\S+")
 
 
@@ -71,15 +77,25 @@ class Block:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
+def _attributes(text: str) -> Iterator[tuple[str, str]]:
+    for m in _ATTRIBUTE.finditer(text):
+        yield m[1].lower(), m[2] or m[3] or m[4] or ""
+
+
 def _names_outside(attributes: str) -> bool:
-    for groups in _NAMING.findall(attributes):
-        for token in "".join(groups).lower().split():
-            words = set(filter(None, re.split(r"[^a-z]+", token)))
-            if words and words <= OUTSIDE_NAMES:
-                return True
+    for name, value in _attributes(attributes):
+        if name in _NAMING:
+            for token in value.lower().split():
+                words = set(filter(None, re.split(r"[^a-z]+", token)))
+                if words and words <= OUTSIDE_NAMES:
+                    return True
     return False
 
 
+def _hidden(attributes: str) -> bool:
+    return "hidden" in attributes.lower() and any(name == "hidden" for name, _ in _attributes(attributes))
+
+
 def _wrappers(found: list[Block], enclosing: dict[str, set[int]]) -> set[int]:
     """Forms and named elements that enclose the main text: those around a main element, forms around an h1, and
     those around an article if no article or main element stands free (else it is a teaser in a list)."""
@@ -148,7 +164,7 @@ def blocks(page: str) -> list[Block]:
                 enclosing[name].update(n for n, kind in away_now if kind == "form" or kind == "named" and is_main)
             styled = bool(m[4]) and not (is_main or name in ("body", "html"))
             away = ""
-            if name in OUTSIDE and name != "form" or name == "header" and not mains or styled and _HIDDEN.search(m[4]):
+            if name in OUTSIDE and name != "form" or name == "header" and not mains or styled and _hidden(m[4]):
                 away = "tag"
             elif styled and _names_outside(m[4]):
                 away = "named"
