@@ -18,7 +18,7 @@ them, and ``read_back`` undoes it. Assistant texts are under the loss mask.
 
 Turns are dealt by conversation and sorted within partitions; a conversation is read as a stream and, with
 a turn-local template, never held as a whole. Defined cases: a null text or role counts as empty; rows with equal turn are ordered
-by role, then text; null turns come first; rows with a null conversation id form one conversation;
+by role, then text (repeated rows are turns of their own); null turns come first; very long texts are rendered whole; rows with a null conversation id form one conversation;
 an empty table gives no rows.
 """
 
@@ -97,8 +97,8 @@ def incremental(messages: Iterator[Message], template: Callable[[list[Message]],
             before = now
 
 
-_PIECES = "conv_id long, position long, role string, piece string, start long, end long, loss_start long, loss_end long, rewrites_history boolean"
-_DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean"
+_PIECES = "conv_id long, position long, role string, piece string, start long, end long, loss_start long, loss_end long, rewrites_history boolean, not_located boolean"
+_DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean, not_located long"
 
 
 def _table(rows: list[tuple], ddl: str) -> pa.RecordBatch:
@@ -127,7 +127,7 @@ def _format(template: Callable[[list[Message]], str], window: int, turn_local: b
             at = 0
             for k, (role, piece, a, b, rewrites) in enumerate(incremental(((r or "", t or "") for _, r, t in rows), template, window, turn_local)):
                 loss = (at + a, at + b) if role == LOSS_ROLE and a >= 0 else (None, None)
-                out.append((conv, k, role, piece, at, at + len(piece), *loss, rewrites))
+                out.append((conv, k, role, piece, at, at + len(piece), *loss, rewrites, a < 0))
                 at += len(piece)
                 if len(out) >= 1000:
                     yield _table(out, _PIECES)
@@ -140,8 +140,10 @@ def _format(template: Callable[[list[Message]], str], window: int, turn_local: b
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = []
     for conv, rows in _by_conversation(_rows(batches)):
-        turns, loss, n, chars, loss_chars, rewrote = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, False
-        for _, _, _, piece, start, end, loss_start, loss_end, rewrites in rows:
+        turns, loss, n, chars, loss_chars, rewrote, lost = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, False, 0
+        for number, (_, position, _, piece, start, end, loss_start, loss_end, rewrites, not_located) in enumerate(rows):
+            if position != number or start != chars:
+                raise ValueError(f"conversation {conv}: turn {position} from {start} where turn {number} from {chars} should follow; pieces must be whole conversations in order")
             for role, text in read_back(piece):
                 turns.update(f"{role}\n{text}\n".encode())
                 n += 1
@@ -151,7 +153,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 loss_chars += len(text)
             chars += end - start
             rewrote |= rewrites
-        out.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, rewrote))
+            lost += not_located
+        out.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, rewrote, lost))
         if len(out) >= 1000:
             yield _table(out, _DIGESTS)
             out = []
@@ -163,7 +166,8 @@ def format_chats(
     turn_local: bool | None = None,
 ) -> DataFrame:
     """One row per turn, in order within partitions: conv_id, position, role, piece (what the turn adds to the output),
-    start and end in the output, loss_start and loss_end (assistant text), rewrites_history. ``turn_local`` as in ``incremental``."""
+    start and end in the output, loss_start and loss_end (assistant text), rewrites_history, not_located (the template changes the
+    turn's text beyond what a probe can find, so that an assistant text is not under the mask). ``turn_local`` as in ``incremental``."""
     local = template is render if turn_local is None else turn_local
     rows = turns.select(F.col(conv_col).alias("_conv"), F.col(turn_col).alias("_turn"), F.col(role_col).alias("_role"), F.col(text_col).alias("_text"))
     dealt = rows.repartition("_conv").sortWithinPartitions("_conv", "_turn", "_role", "_text").select("_conv", "_role", "_text")
@@ -171,5 +175,9 @@ def format_chats(
 
 
 def digest_chats(pieces: DataFrame) -> DataFrame:
-    """One row per conversation from the rows of ``format_chats`` with the template of this module, read back from the output."""
+    """One row per conversation from the rows of ``format_chats`` with the template of this module, read back from the output.
+
+    Conversations have to be whole and in order, as ``format_chats`` leaves them; a task that finds others raises. ``not_located``
+    counts the turns whose text was not found.
+    """
     return pieces.mapInArrow(_digest, _DIGESTS)

@@ -14,11 +14,11 @@ are the seed. Seeding thus loses no leak of any length; items of 1 to 4 words ha
 The benchmark's seeds are broadcast if a count shows them to be few (``BROADCAST_SEEDS``), and then
 documents are neither shuffled nor sorted: seeds are exploded, looked up and dropped inside the scan
 stage. A larger benchmark is joined by an ordinary shuffle of the seeds. Only documents with hits are
-read again for the comparison; the hits are broadcast to them if they are few.
+read again for the comparison; the hits are broadcast to them if they are few, and so are the items if their words are.
 
 Defined cases: null and empty texts have no words and no leaks; every text of an item id is searched,
 repeated ones once; documents count once per id; documents and items with a null id are told apart by
-their texts.
+their texts; very long texts are searched whole; an empty table gives no leaks.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ MIN_EQUAL = 11
 #: Words from which the masks find every leak.
 MASKED = 13
 BROADCAST_SEEDS = 200_000
+#: Words of all items up to which the items are broadcast.
+BROADCAST_WORDS = 2_000_000
 
 
 def words(text_col: str) -> Column:
@@ -106,7 +108,9 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     aimed = broadcast_if_small(starts.toDF("_to", "_to_own", "_item", "_start"))
     found = keyed.join(aimed, F.col("_id").eqNullSafe(F.col("_to")) & (F.col("_own") == F.col("_to_own")))
     words_of = items.select("_item", "_item_id", "_item_words")
-    aligned = found.join(broadcast_if_small(words_of, BROADCAST_SEEDS), "_item").select("_id", "_own", "_item", "_item_id", "_start", "_item_words", words("_text").alias("_words"))
+    if (words_of.agg(F.sum(F.size("_item_words"))).first()[0] or 0) <= BROADCAST_WORDS:
+        words_of = broadcast_if_small(words_of, BROADCAST_SEEDS)
+    aligned = found.join(words_of, "_item").select("_id", "_own", "_item", "_item_id", "_start", "_item_words", words("_text").alias("_words"))
     start = F.col("_start")
     beside = F.concat(F.array_repeat(F.lit(None).cast("string"), F.greatest(-start, F.lit(0)).cast("int")), F.slice("_words", F.greatest(start, F.lit(0)) + 1, F.size("_item_words")))
     same = F.slice(F.zip_with("_item_words", beside, lambda w, d: F.when(w == d, 1).otherwise(0)), 1, F.size("_item_words"))

@@ -8,11 +8,13 @@ interval that holds its host, or else the nearest parent domain, on the day it w
 Captures are first reduced to the distinct (host, day) pairs and those to the (domain, day) pairs
 to look up, both with map-side aggregation; the as-of join is one window over entries and lookups
 of a domain, ordered by day. It sees at most two rows for each domain and day, however many captures
-a domain has. The verdicts are joined back on (host, day), which spreads a hot host over its days.
+a domain has. The verdicts of listed pairs are broadcast to the captures, which then stay where they are, if a count
+shows them to be few (``BROADCAST_VERDICTS``); else each is copied ``SALTS`` times and joined on (host, day, salt), so that
+the captures of a hot host on one day are dealt over as many tasks.
 
 Defined cases: a null url, or one without a host, is not listed; a null fetch day is judged as not
 listed; entries with a null domain or day are never active; empty lists and tables work; repeated
-captures are all returned.
+captures are all returned; an IPv4 address has no parent domains; very long URLs are parsed whole.
 """
 
 from __future__ import annotations
@@ -20,6 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.llm.common import cut
+
+#: Listed pairs of host and day up to which they are broadcast, and copies of each beyond it.
+BROADCAST_VERDICTS = 200_000
+SALTS = 16
+
 
 def url_host(url: str) -> Column:
     """Lowercase host of an absolute URL, without user, port and final dot; null if there is none."""
@@ -31,7 +39,8 @@ def url_host(url: str) -> Column:
 def domain_chain(host: Column) -> Column:
     """The host and its parent domains of two labels or more, longest first."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.when(host.rlike(r"^[0-9]+(\.[0-9]+){3}$"), F.array(host)).otherwise(parents)
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
@@ -65,8 +74,14 @@ def judge_captures(captures: DataFrame, entries: DataFrame, url_col: str = "url"
         .groupBy("host", "day")
         .agg(F.min_by(F.struct("domain", "entry"), "steps_up").alias("hit"))
     )
+    listed, on = cut(nearest), ["host", "day"]
+    if listed.limit(BROADCAST_VERDICTS + 1).count() <= BROADCAST_VERDICTS:
+        listed = F.broadcast(listed)
+    else:
+        listed = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows, on = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), [*on, "salt"]
     verdict = F.coalesce(F.col("hit.entry.action") == "block", F.lit(False))
-    return rows.join(nearest, ["host", "day"], "left").select(
+    return rows.join(listed, on, "left").select(
         "capture",
         "host",
         F.col("hit.domain").alias("listed_domain"),
