@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut
+from wayfold.llm.common import cut, tight
 
 MOST_ROUNDS = 60
 
@@ -31,11 +31,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(_node, _label), the label being the smallest node of the component, for every node with an edge (_a, _b).
 
-    Lineage is cut in every round; the result is settled when a round changes nothing.
+    Lineage is cut in every round; the result is settled when a round changes nothing. A round makes no edges beyond
+    those it gets, so that all rounds work in as many partitions as the edges need at first.
     """
     now, before = cut(_ordered(edges)), None
+    rows = now.count()
+    now = tight(now, rows)
     for _ in range(MOST_ROUNDS):
-        now = cut(_small_star(cut(_large_star(now))))
+        now = tight(cut(tight(_small_star(tight(cut(tight(_large_star(now), rows)), rows)), rows)), rows)
         state = tuple(now.agg(F.count("*"), F.sum(F.hash("_a", "_b").cast("long"))).first())
         if state == before:
             break

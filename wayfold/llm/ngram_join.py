@@ -23,13 +23,19 @@ common overall is common in some task. The at most ``FREQUENT_TOKENS`` most comm
 
 Equal sets are one node, so copies cost nothing after hashing. Candidates are verified in rounds. In each of
 the first ``STAR_ROUNDS`` every node is compared with one node of another component, namely the one, of the
-leaders of its signatures' groups, that it shares most with; leaders change from round to round. The last round takes
+leaders of its signatures' groups, that it shares most with. A group's leader is its node with the fewest rare tokens, which
+is close to the text that the others were copied from; in later rounds it is a random one. The last round takes
 all pairs that share a signature across different components. Pairs inside a component can't change it, so
-no group of near copies is expanded into all its pairs. Two bounds rule out pairs before sets are compared. With
-prefixes of p and q rare tokens of which c are common, all further common tokens follow the prefix that
-ends first, so |x & y| is at most c + max(|x| - p, |y| - q). Where the prefix needs frequent tokens it holds all
-rare tokens of a set, u in x and v in y: pairs without a common rare token have |x & y| of at most
-min(|x| - u, |y| - v), and pairs with one meet at that token's signature.
+no group of near copies is expanded into all its pairs.
+
+Texts with a large common part share many signatures, so the last round merges groups of a kind with the same lowest
+and highest node: a pair then meets once or a few times instead of once a signature. Pairs are ruled out before sets
+are compared, by exact bounds. Sizes must be within 4 / 3. With prefixes of p and q rare tokens of which at most c are common,
+all further common tokens follow the prefix that ends first, so |x & y| is at most c + max(|x| - p, |y| - q). Where the prefix
+needs frequent tokens it holds all rare tokens of a set, u in x and v in y: pairs without a common rare token have |x & y| of
+at most min(|x| - u, |y| - v), and pairs with one meet at that token's signature. And nodes with signatures of pairs have a parity
+map of ``MAP_BITS`` bits, of which each token flips one: two maps differ in at most as many bits as the sets in tokens,
+while linked sets differ in at most (|x| + |y|) / 7 tokens. What is left are links and pairs just below the similarity.
 
 Defined cases: null and empty texts have no tokens, n_shingles 0, and are linked with nothing; a text
 of 1 to 4 words has one token, its whole word sequence; repeated rows link with each other; a row with
@@ -49,7 +55,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm import arrays
-from wayfold.llm.common import broadcast_if_small, cut, store
+from wayfold.llm.common import broadcast_if_small, cut, store, tight
 from wayfold.llm.components import connected_components
 
 WORDS = 5
@@ -66,6 +72,9 @@ BAND = 1.34
 STAR_ROUNDS = 3
 FIRST_SHARE = 0.1
 TOKENS_PER_GROUP = 8
+#: Bits of a parity map; a map is so many words of 64 bits.
+MAP_BITS = 1024
+MAP_WORDS = MAP_BITS // 64
 #: Nodes up to which the list of texts to compare is broadcast.
 BROADCAST_NODES = 500_000
 
@@ -178,19 +187,20 @@ def _pair_signatures(rare: int, frequent: np.ndarray, need: int, band: int) -> l
     return arrays.mix(arrays.mix(a[:, 0] + _U(band + 1)) + a[:, 1]).view(np.int64).tolist()
 
 
-_SIGNED = pa.schema([("_sig", pa.int64()), ("_node", pa.int64()), ("_n", pa.int64()), ("_p", pa.int64()), ("_r", pa.int64())])
+_SIGNED = pa.schema([("_sig", pa.int64()), ("_node", pa.int64()), ("_n", pa.int64()), ("_r", pa.int64())])
 
 
 def _signer(frequent_tokens):
     """Signatures of every text; ``frequent_tokens`` is a broadcast (sorted tokens, their ranks by count).
 
-    _p is the prefix's length, 0 if it holds frequent tokens; _r is the number of rare tokens for signatures of pairs, else -1.
+    _r is the number of rare tokens for signatures of pairs; for single tokens it is -1 - the prefix's length, -1 if
+    the prefix holds frequent tokens too.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = frequent_tokens.value
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], []]
             held = 0
 
             def flush() -> pa.RecordBatch:
@@ -210,19 +220,19 @@ def _signer(frequent_tokens):
                     if is_common.any():
                         rare, ranks = tokens[~is_common], rank[at[is_common]]
                 node, alone = _node(tokens), rare.size >= need
-                made = [(rare[:need].view(np.int64), need if alone else 0, -1)]
+                made = [(rare[:need].view(np.int64), -1 - need if alone else -1)]
                 if not alone:
                     frequent = tokens[is_common][np.argsort(ranks)]
                     band = int(math.log(n) / math.log(BAND))
                     pairs = [x for b in (band - 1, band) for x in _pair_signatures(rare.size, frequent, need, b)]
-                    made.append((np.array(pairs, np.int64), 0, rare.size))
-                for sig, prefix, rares in made:
-                    for column, x in zip(rows, (sig, node, n, prefix, rares)):
+                    made.append((np.array(pairs, np.int64), rare.size))
+                for sig, rares in made:
+                    for column, x in zip(rows, (sig, node, n, rares)):
                         column.append(x)
                     held += sig.size
                 if held > 200_000:
                     yield flush()
-                    rows, held = [[], [], [], [], []], 0
+                    rows, held = [[], [], [], []], 0
             yield flush()
 
     return sign
@@ -243,6 +253,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], schema=_SETS)
 
 
+_MAPS = pa.schema([("_node", pa.int64()), *((f"_m{k}", pa.int64()) for k in range(MAP_WORDS))])
+
+
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parity map of every text's tokens, by their high bits."""
+    for batch in batches:
+        nodes, maps = [], np.zeros((batch.num_rows, MAP_WORDS), np.uint64)
+        for row, tokens in enumerate(shingle_sets(batch.column("_text"))):
+            nodes.append(_node(tokens))
+            odd = np.bincount((tokens >> _U(32)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) % 2 == 1
+            maps[row] = np.packbits(odd).view(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *(pa.array(x.view(np.int64)) for x in maps.T.copy())], schema=_MAPS)
+
+
 _LINKS = pa.schema([("_a", pa.int64()), ("_b", pa.int64())])
 
 
@@ -260,13 +284,19 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(kept.columns, schema=_LINKS)
 
 
+def _texts(docs: DataFrame, nodes: DataFrame, texts_of: DataFrame) -> DataFrame:
+    """One text (_text) for each of the distinct ``nodes``. ``texts_of``: (_node, _rep), the row that stands for a node."""
+    chosen = broadcast_if_small(cut(texts_of.join(nodes, "_node").select("_rep")), BROADCAST_NODES)
+    return docs.join(chosen, docs["_id"] == chosen["_rep"], "left_semi").select("_text")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, texts_of: DataFrame) -> DataFrame:
-    """The pairs (_a, _b) that link. ``texts_of``: (_node, _rep), the text that stands for a node."""
-    involved = pairs.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct()
-    chosen = broadcast_if_small(cut(texts_of.join(involved, "_node").select("_rep")), BROADCAST_NODES)
-    sets = store(docs.join(chosen, docs["_id"] == chosen["_rep"], "left_semi").select("_text").mapInArrow(_sets, "_node long, _set binary"))
-    a, b = sets.toDF("_a", "_set_a"), sets.toDF("_b", "_set_b")
-    return pairs.join(b, "_b").join(a, "_a").select("_a", "_b", "_set_a", "_set_b").mapInArrow(_linked, "_a long, _b long")
+    """The pairs (_a, _b) that link. Sets go to their pairs if these are few enough to be broadcast, else both are shuffled."""
+    involved = broadcast_if_small(pairs.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct(), BROADCAST_NODES)
+    sets = store(_texts(docs, involved, texts_of).mapInArrow(_sets, "_node long, _set binary"))
+    asked = broadcast_if_small(pairs, BROADCAST_NODES)
+    a, b = asked.join(sets.toDF("_a", "_set_a"), "_a"), asked.join(sets.toDF("_b", "_set_b"), "_b")
+    return a.join(b, ["_a", "_b"]).select("_a", "_b", "_set_a", "_set_b").mapInArrow(_linked, "_a long, _b long")
 
 
 def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -292,41 +322,51 @@ def _may_link(x: str, y: str, rx: str, ry: str) -> Column:
     return close & ((F.col(rx) < 0) | _enough(F.least(F.col(x) - F.col(rx), F.col(y) - F.col(ry)), x, y))
 
 
-def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Signatures with their node's component, only those of groups with several components."""
-    if labels is None:
-        return shared.withColumn("_label", F.col("_node"))
-    named = shared.join(broadcast_if_small(labels, BROADCAST_NODES), "_node", "left").select(*shared.columns, F.coalesce("_label", "_node").alias("_label"))
-    mixed = named.groupBy("_sig").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).filter("_low <> _high").select("_sig")
-    return named.join(mixed, "_sig", "left_semi").select(named.columns)
-
+def _open_rows(shared: DataFrame, rows: int, labels: DataFrame | None, number: int) -> DataFrame:
+    """Signatures with their node's component _label, their group's _key and leader _l, only of groups with several components.
 
-def _star_pairs(open_rows: DataFrame, number: int) -> DataFrame:
-    """(_a, _b): for each node the leader of another component that it shares most with. Leaders are the least by a hash that the round seeds."""
-    lead = F.struct(F.xxhash64("_node", F.lit(number)).alias("h"), "_node", "_n", "_r", "_label")
-    led = open_rows.withColumn("_l", F.min(lead).over(Window.partitionBy("_sig"))).select("_node", "_n", "_r", "_label", F.col("_l._node").alias("_leader"), F.col("_l._n").alias("_ln"), F.col("_l._r").alias("_lr"), F.col("_l._label").alias("_ll"))
+    Groups of a kind (single tokens, pairs) with the same lowest and highest node have the same key. The leader has the
+    fewest rare tokens of its group in the first round, later the least hash that the round seeds.
+    """
+    named = shared.withColumn("_label", F.col("_node"))
+    if labels is not None:
+        named = shared.join(broadcast_if_small(labels, BROADCAST_NODES), "_node", "left").select(*shared.columns, F.coalesce("_label", "_node").alias("_label"))
+    key = F.xxhash64(F.min("_node"), F.max("_node"), F.max("_r") < 0).alias("_key")
+    fewest = F.when((F.col("_r") >= 0) & F.lit(number == 0), F.col("_r")).alias("f")
+    lead = F.struct(fewest, F.xxhash64("_node", F.lit(number)).alias("h"), "_node", "_n", "_r", "_label")
+    groups = named.groupBy("_sig").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high"), key, F.min(lead).alias("_l")).filter("_low <> _high")
+    groups = cut(tight(groups.select("_sig", "_key", "_l"), rows))
+    return named.join(broadcast_if_small(groups), "_sig")
+
+
+def _star_pairs(open_rows: DataFrame, rows: int) -> DataFrame:
+    """(_a, _b): for each node the leader of another component that it shares most with."""
+    led = open_rows.select("_node", "_n", "_r", "_label", F.col("_l._node").alias("_leader"), F.col("_l._n").alias("_ln"), F.col("_l._r").alias("_lr"), F.col("_l._label").alias("_ll"))
     weight = F.when(F.col("_r") < 0, 1.0).otherwise(FIRST_SHARE * F.col("_n"))
-    return (
-        led.filter("_label <> _ll")
-        .filter(_may_link("_n", "_ln", "_r", "_lr"))
-        .groupBy("_leader", "_node", "_n")
-        .agg(F.sum(weight).alias("_c"))
-        .filter(F.col("_c") >= FIRST_SHARE * F.col("_n"))
-        .groupBy(F.col("_node").alias("_b"))
-        .agg(F.max_by("_leader", F.struct("_c", "_leader")).alias("_a"))
-        .select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
-        .distinct()
-    )
+    near = led.filter("_label <> _ll").filter(_may_link("_n", "_ln", "_r", "_lr")).groupBy("_leader", "_node", "_n").agg(F.sum(weight).alias("_c")).filter(F.col("_c") >= FIRST_SHARE * F.col("_n"))
+    best = tight(near, rows).groupBy(F.col("_node").alias("_b")).agg(F.max_by("_leader", F.struct("_c", "_leader")).alias("_a"))
+    return tight(tight(best, rows).select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct(), rows)
+
+
+def _meetings(rows: DataFrame) -> DataFrame:
+    """Pairs of rows with the same _key, different components and sizes that allow a link; columns end in a and b."""
+    left, right = (rows.select("_key", *(F.col(c).alias(c + k) for c in rows.columns if c != "_key")) for k in "ab")
+    return left.join(right, "_key").filter("_nodea < _nodeb and _labela <> _labelb").filter(_may_link("_na", "_nb", "_ra", "_rb"))
+
 
+def _all_pairs(open_rows: DataFrame, rows: int, docs: DataFrame, texts_of: DataFrame) -> DataFrame:
+    """(_a, _b): nodes of different components that share a signature and pass the bounds."""
+    merged = store(tight(open_rows.groupBy("_key", "_node", "_n", "_r", "_label").agg(F.count("*").alias("_c")), rows))
+    single = tight(_meetings(merged.filter("_r < 0")), rows).groupBy("_nodea", "_nodeb", "_na", "_nb", "_ra", "_rb").agg(F.sum(F.least("_ca", "_cb")).alias("_c"))
+    beyond = F.greatest(F.col("_na") + F.col("_ra"), F.col("_nb") + F.col("_rb")) + 1
+    single = single.filter((F.col("_ra") == -1) | (F.col("_rb") == -1) | _enough(F.col("_c") + beyond, "_na", "_nb"))
 
-def _all_pairs(open_rows: DataFrame) -> DataFrame:
-    """(_a, _b): nodes of different components that share a signature and may link."""
-    left, right = (open_rows.select("_sig", *(F.col(c).alias(c + k) for c in ("_node", "_n", "_p", "_r", "_label"))) for k in "ab")
-    beyond = F.greatest(F.col("_na") - F.col("_pa"), F.col("_nb") - F.col("_pb"))
-    met = left.join(right, "_sig").filter("_nodea < _nodeb and _labela <> _labelb").filter(_may_link("_na", "_nb", "_ra", "_rb"))
-    counted = met.groupBy("_nodea", "_nodeb", "_na", "_nb", "_pa", "_pb").agg(F.count("*").alias("_c"))
-    possible = (F.col("_pa") == 0) | (F.col("_pb") == 0) | _enough(F.col("_c") + beyond, "_na", "_nb")
-    return counted.filter(possible).select(F.col("_nodea").alias("_a"), F.col("_nodeb").alias("_b"))
+    of_pairs = merged.filter("_r >= 0").drop("_c")
+    maps = _texts(docs, of_pairs.select("_node").distinct(), texts_of).mapInArrow(_maps, ", ".join(f"{f.name} long" for f in _MAPS))
+    differ = sum((F.bit_count(F.col(f"_m{k}a").bitwiseXOR(F.col(f"_m{k}b"))) for k in range(MAP_WORDS)), F.lit(0))
+    double = _meetings(store(tight(of_pairs.join(maps, "_node"), rows))).filter((OF + LEAST) * differ <= (OF - LEAST) * (F.col("_na") + F.col("_nb")))
+    met = [tight(x, rows).select(F.col("_nodea").alias("_a"), F.col("_nodeb").alias("_b")) for x in (single, double)]
+    return met[0].unionByName(met[1]).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,19 +375,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     nodes = cut(rows.mapInArrow(_scan, "_id long, _n long, _node long"))
     texts_of = nodes.filter("_n > 1 and _id is not null").groupBy("_node").agg(F.min("_id").alias("_rep"))
+    texts_of = cut(tight(texts_of, nodes.count()))
     frequent = spark.sparkContext.broadcast(_frequent(rows))
 
-    signed = rows.filter("_id is not null").select("_text").mapInArrow(_signer(frequent), "_sig long, _node long, _n long, _p long, _r long")
+    signed = rows.filter("_id is not null").select("_text").mapInArrow(_signer(frequent), "_sig long, _node long, _n long, _r long")
     every = Window.partitionBy("_sig")
     several = signed.withColumns({"_low": F.min("_node").over(every), "_high": F.max("_node").over(every)}).filter("_low <> _high")
     shared = store(several.drop("_low", "_high").distinct())
+    frequent.destroy()
+    many = shared.count()
 
     links, tried, labels = None, None, None
     for number in range(STAR_ROUNDS + 1):
-        open_rows = _labelled(shared, labels)
-        last = number == STAR_ROUNDS
-        pairs = _all_pairs(store(open_rows)) if last else _star_pairs(open_rows, number)
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["_a", "_b"], "left_anti"))
+        open_rows = _open_rows(shared, many, labels, number)
+        pairs = _all_pairs(open_rows, many, rows, texts_of) if number == STAR_ROUNDS else _star_pairs(open_rows, many)
+        pairs = cut(pairs if tried is None else pairs.join(broadcast_if_small(tried, BROADCAST_NODES), ["_a", "_b"], "left_anti"))
+        pairs = tight(pairs, pairs.count())
         found = cut(_verify(pairs, rows, texts_of))
         tried = pairs if tried is None else tried.unionByName(pairs)
         if found.isEmpty() and labels is not None:
