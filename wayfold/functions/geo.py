@@ -58,3 +58,15 @@ def taste_points(taste: Column, dna: Column) -> Column:
     """Sum over traits of weight * (trait - 50) / 14, clamped to 45 either way. Both are maps of trait to number."""
     total = F.aggregate(F.map_entries(taste), F.lit(0.0), lambda a, e: a + e["value"] * (F.coalesce(F.element_at(dna, e["key"]), F.lit(50.0)) - 50) / 14)
     return F.least(F.lit(45.0), F.greatest(F.lit(-45.0), total))
+
+
+def flat_metres(lat: Column, lon: Column, lat0: Column, lon0: Column) -> Column:
+    """Metres on a flat map whose longitudes shrink by the cosine of the middle latitude."""
+    north, east = F.radians(lat - lat0), F.radians(lon - lon0) * F.cos(F.radians((lat + lat0) / 2))
+    return EARTH_KM * 1000 * F.sqrt(north * north + east * east)
+
+
+def is_swapped(a: Column, b: Column, lat0: float, lon0: float) -> Column:
+    """Whether two coordinates near a city are longitude and latitude rather than latitude and longitude."""
+    as_said = F.abs(a - lat0) + F.abs(b - lon0)
+    return F.abs(b - lat0) + F.abs(a - lon0) < as_said

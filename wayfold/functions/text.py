@@ -59,3 +59,23 @@ def hash31(x: Column) -> Column:
 def fnv1a(x: Column) -> Column:
     """FNV-1a over the characters' code points, modulo 2^32."""
     return F.aggregate(_codes(x), F.lit(2166136261).cast("long"), lambda h, c: h.bitwiseXOR(c) * 16777619 % 4294967296)
+
+
+# Latin letters with marks and the letters without them.
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőřśşšťūůűźżž"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorssstuuuzzz"
+
+
+def fold(x: Column) -> Column:
+    """For comparing names: lower case, marks of Latin letters dropped, & as and, only Latin letters and digits."""
+    return squeeze(F.regexp_replace(F.replace(F.translate(F.lower(x), ACCENTED, PLAIN), F.lit("&"), F.lit(" and ")), "[^a-z0-9]", " "))
+
+
+def bare_name(folded: Column, city: str) -> Column:
+    """A folded name without a leading article and the city at its end."""
+    return F.regexp_replace(F.regexp_replace(folded, "^(the|a|an) ", ""), rf" {city}$", "")
+
+
+def distinctive(folded: Column, common: tuple[str, ...]) -> Column:
+    """The distinct words of a folded name that are neither fillers nor common ones."""
+    return F.array_distinct(F.filter(tokens(folded), lambda w: ~w.isin(*common)))
