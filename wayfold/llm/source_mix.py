@@ -98,7 +98,7 @@ def sampling_levels(sums: DataFrame, goals: DataFrame, size_power: float = SIZE_
     """
     falling = Window.partitionBy("_group").orderBy(F.desc("_class"))
     before, onward = falling.rowsBetween(Window.unboundedPreceding, -1), falling.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    tried = sums.join(goals, "_group").withColumn("_try", (F.col("_goal") - F.coalesce(F.sum("_words").over(before), F.lit(0))) / F.sum("_measure").over(onward))
+    tried = sums.join(goals, "_group").withColumn("_try", F.try_divide(F.col("_goal") - F.coalesce(F.sum("_words").over(before), F.lit(0)), F.sum("_measure").over(onward)))
     open_ = (F.col("_try") >= 0) & (F.col("_try") * F.pow(F.lit(2.0), F.col("_class") / CLASSES * size_power) < 1)
     return tried.groupBy("_group", "_goal").agg(F.sum("_words").alias("_all"), F.coalesce(F.max_by("_try", F.when(open_, F.col("_class"))), F.lit(1e300)).alias("_level"))
 
@@ -150,7 +150,7 @@ def mix_sources(
     measure = F.col("_size") * F.pow(F.col("_size").cast("double"), F.lit(size_power))
     by_class = cut(sizes.groupBy("_source", size_class(F.col("_size")).alias("_class")).agg(F.sum("_size").alias("_words"), F.sum(measure).alias("_measure")))
     targets = source_targets(by_class.groupBy("_source").agg(F.sum("_words").alias("source_size")), weights, total_share, max_repeats)
-    whole = F.least(F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)), F.lit(max_repeats))
+    whole = F.least(F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)), F.lit(max_repeats))
     few = broadcast_if_small(cut(targets.withColumn("_whole", whole).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))))
 
     rows = sizes.join(few, sizes["_source"].eqNullSafe(few["_source"])).drop(few["_source"]).withColumn("_class", size_class(F.col("_size")))
