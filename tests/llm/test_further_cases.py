@@ -205,3 +205,11 @@ def test_pipeline_stages_by_brute_force(spark, part):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() <= docs.count()
     assert corpus_pipeline.mix(spark, docs, SF).columns[0] == "doc_id"
+
+
+def test_source_mix_with_a_source_of_empty_texts(spark):
+    rows = [(k, None if k % 2 else "", "empty") for k in range(6)] + [(k, "a b c " * k, "full") for k in range(6, 20)]
+    out = source_mix.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == 20 and all(r.taken == 0 and r.source_size == 0 for r in out if r.source == "empty")
+    full = [r for r in out if r.source == "full"]
+    assert abs(sum(r.taken for r in full) - full[0].target) <= max(r.size for r in full) and all(r.taken <= 2 * r.size for r in full)
