@@ -1,11 +1,25 @@
-"""Queries of the ten operators, and their SQL where SQL can express them."""
+"""Queries of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, ngram_join, secret_scan, source_mix, toxicity, url_lists
+from wayfold.llm import (
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    hash_tree,
+    html_extract,
+    language_id,
+    ngram_join,
+    prefix_trie,
+    role_repair,
+    secret_scan,
+    source_mix,
+    toxicity,
+    url_lists,
+)
 from wayfold.llm.common import table
 
 
@@ -86,6 +100,112 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+#: Shards of the query's tree: two regions of two racks of two; the grown tree has one more, in a new region.
+SHARDS = 8
+
+
+def op11_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_tree.assign(table(spark, sf_dir, "documents"), hash_tree.layout(SHARDS), hash_tree.layout(SHARDS + 1))
+
+
+#: The longest opening that the query lends, plus one, and the ids that share a lender.
+OPENING, LENDER = 6, 100
+
+
+def lend_openings(gathered: DataFrame) -> DataFrame:
+    """Conversations whose first turns, crc32(id) % 6 of them, are those of the conversation whose id ends in 00."""
+    own = gathered.withColumn("_h", (F.crc32(F.col("conv_id").cast("string")) % OPENING).cast("int"))
+    lenders = gathered.filter(F.col("conv_id") % LENDER == 0).select(F.col("conv_id").alias("_lender"), F.slice("turns", 1, OPENING - 1).alias("_opening"))
+    joined = own.withColumn("_lender", F.col("conv_id") - F.col("conv_id") % LENDER).join(lenders, "_lender", "left")
+    rest = F.slice("turns", F.col("_h") + 1, F.size("turns"))
+    lent = F.slice("_opening", F.lit(1), F.col("_h"))
+    return joined.select("conv_id", F.when(lent.isNull(), rest).otherwise(F.concat(lent, rest)).alias("turns"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(lend_openings(prefix_trie.gather(table(spark, sf_dir, "conversations"))))
+
+
+def damage(turns: DataFrame) -> DataFrame:
+    """Rows that are dropped, emptied, cut off, repeated or given another role, by crc32(``conv_id:turn``) % 20."""
+    space = F.lit(" ")
+    turns = turns.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"))
+    fault = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))) % 20
+    hurt = turns.withColumn("_fault", fault).filter("_fault <> 0")
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("_fault") == 3, 2).otherwise(1)))
+    return hurt.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("_fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("_fault") == 1, "").when(F.col("_fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        copies.alias("_copy"),
+    ).drop("_copy")
+
+
+def op13_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return role_repair.repair(damage(turns), turns.select("conv_id"))
+
+
+#: CRC-32 of a list of bytes, with its table made by its rule.
+_CRC_TABLE = """(SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc_sql(text: str) -> str:
+    data = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+def _draw_sql(key: str, weights: dict[str, str]) -> str:
+    """The child of the smallest draw; ``weights``: SQL of a child's path to SQL of its weight."""
+    drawn = ", ".join(f"{{'s': -ln((CAST('0x' || md5({key} || '|' || {p})[:13] AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / {w}, 'p': {p}}}" for p, w in weights.items())
+    return f"list_sort([{drawn}])[1].p"
+
+
+OP11_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, octet_length(encode(coalesce(text, ''))) + 1 AS size, {_crc_sql("coalesce(text, '')")} AS text_crc32
+  FROM documents, {_CRC_TABLE}
+), r AS (SELECT *, {_draw_sql("k", {"'0/r0'": "4.0", "'0/r1'": "4.0"})} AS region, {_draw_sql("k", {"'0/r0'": "4.0", "'0/r1'": "4.0", "'1/r2'": "1.0"})} = '1/r2' AS moves FROM d
+), c AS (SELECT *, {_draw_sql("k", {"region || '/k0'": "2.0", "region || '/k1'": "2.0"})} AS rack, FROM r
+), n AS (SELECT *, CAST(region[4:] AS INTEGER) * 4 + CAST(rack[-1:] AS INTEGER) * 2 AS low FROM c
+), s AS (SELECT *, CAST(string_split({_draw_sql("k", {"rack || '/' || low": "1.0", "rack || '/' || (low + 1)": "1.0"})}, '/')[4] AS INTEGER) AS shard FROM n)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CASE WHEN moves THEN 8 ELSE shard END AS grown_shard
+FROM s
+"""
+
+OP12_SQL = f"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS h, length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (SELECT DISTINCT c, {_crc_sql("CAST(c AS VARCHAR)")} % 6 AS h FROM t, {_CRC_TABLE}
+), rebuilt AS (
+  SELECT ids.c, 0 AS part, t.i, t.h, t.chars FROM ids JOIN t ON t.c = ids.c - ids.c % 100 AND t.i <= ids.h
+  UNION ALL SELECT ids.c, 1, t.i, t.h, t.chars FROM ids JOIN t ON t.c = ids.c AND t.i > ids.h
+), turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, i) AS d, h, chars FROM rebuilt
+), members AS (
+  SELECT c, d, string_agg(h, '/') OVER (PARTITION BY c ORDER BY d) AS path, chars FROM turns
+  UNION ALL SELECT c, 0, '', 0 FROM ids
+), lens AS (SELECT c, max(d) AS len FROM members GROUP BY c
+), nodes AS (
+  SELECT path, any_value(d) AS d, min(c) AS owner, count(*) AS n, any_value(chars) AS chars,
+         string_agg(CASE WHEN len = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends
+  FROM members JOIN lens USING (c) GROUP BY path
+), up AS (
+  SELECT x.*, p.path AS parent, p.owner AS parent_owner
+  FROM nodes x LEFT JOIN members m ON m.c = x.owner AND m.d = x.d - 1 LEFT JOIN nodes p ON p.path = m.path
+), kids AS (SELECT parent AS path, count(*) AS n_children FROM up WHERE parent IS NOT NULL GROUP BY parent
+), below AS (
+  SELECT m.path, count(*) FILTER (k.path IS NULL) AS n_leaves, sum((x.n - 1) * x.chars) AS saved
+  FROM nodes x JOIN members m ON m.c = x.owner AND m.d <= x.d LEFT JOIN kids k ON k.path = x.path GROUP BY m.path
+)
+SELECT owner AS conv_id, CAST(d AS BIGINT) AS depth, parent_owner AS parent_conv_id, n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM up JOIN below USING (path) LEFT JOIN kids USING (path)
+"""
+
 OP7_SQL = r"""
 WITH p AS (
   SELECT page_id, url,
@@ -124,8 +244,13 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_html_extract": op9_html_extract,
     "op10_language_id": op10_language_id,
+    "op11_hash_tree": op11_hash_tree,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_role_repair": op13_role_repair,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": OP4_SQL,
     "op7_url_filter": OP7_SQL,
+    "op11_hash_tree": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
