@@ -213,3 +213,57 @@ def test_source_mix_with_a_source_of_empty_texts(spark):
     assert len(out) == 20 and all(r.taken == 0 and r.source_size == 0 for r in out if r.source == "empty")
     full = [r for r in out if r.source == "full"]
     assert abs(sum(r.taken for r in full) - full[0].target) <= max(r.size for r in full) and all(r.taken <= 2 * r.size for r in full)
+
+
+def test_clashing_digests_stay_apart(spark):
+    """Different sets whose digests share their first half are named by the second, in Spark and in the tasks alike."""
+    scanned = spark.createDataFrame([(1, 5, 10, 77), (2, 5, 10, 78), (3, 5, 10, 77), (4, 5, 11, 77), (5, 5, 12, 12)], "_id long, _n long, _first long, _second long")
+    nodes, naming = ngram_join._named(scanned)
+    assert naming.clashes == {10}
+    assert {r._id: r._node for r in nodes.collect()} == {1: 77, 2: 78, 3: 77, 4: 11, 5: 12}
+    tokens = np.array([3, 9], np.uint64)
+    first, second = ngram_join._halves(tokens)
+    assert ngram_join._Naming(frozenset())(tokens) == first and ngram_join._Naming(frozenset([first]))(tokens) == second
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """Groups split into blocks lose no pair."""
+    draw = np.random.default_rng(4)
+    vocabulary = [f"v{i}" for i in range(900)]
+    texts = [" ".join(draw.choice(vocabulary, 60)) for _ in range(40)]
+    for _ in range(2):
+        texts += near_copies(draw, draw.choice(vocabulary, 90), 30, 8)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 0)
+    out = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(rows).collect()}
+    assert [out[i] for i in range(len(texts))] == brute_components(texts)
+
+
+def test_no_coalesce_above_a_scan_of_texts(spark, monkeypatch):
+    """Few signatures must not draw the reading of the texts into few tasks."""
+    plans = []
+    store, cut = ngram_join.store, ngram_join.cut
+
+    def watched(write):
+        def run(df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return write(df)
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "store", watched(store))
+    monkeypatch.setattr(ngram_join, "cut", watched(cut))
+    ngram_join.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    scans = [p for p in plans if "documents.parquet" in p]
+    assert len(scans) > 5
+    for plan in scans:
+        depth_of = [(len(line) - len(line.lstrip(" :+-*()0123456789")), line) for line in plan.splitlines()]
+        for i, (depth, line) in enumerate(depth_of):
+            if "Coalesce" not in line:
+                continue
+            below = itertools.takewhile(lambda x: x[0] > depth, depth_of[i + 1 :])
+            open_lines = []
+            for inner, text in below:
+                open_lines = [x for x in open_lines if x[0] < inner] + [(inner, text)]
+                assert "documents.parquet" not in text or any("Exchange" in t for _, t in open_lines), plan

@@ -40,7 +40,7 @@ while linked sets differ in at most (|x| + |y|) / 7 tokens. What is left are lin
 Defined cases: null and empty texts have no tokens, n_shingles 0, and are linked with nothing; a text
 of 1 to 4 words has one token, its whole word sequence; repeated rows link with each other; a row with
 a null id is linked with equal texts only and gets their smallest id, null if there is none. Words are compared after
-lowering A-Z. Tokens and nodes are 64-bit hashes.
+lowering A-Z. Tokens are 64-bit hashes; nodes are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm import arrays
@@ -75,6 +75,8 @@ TOKENS_PER_GROUP = 8
 #: Bits of a parity map; a map is so many words of 64 bits.
 MAP_BITS = 1024
 MAP_WORDS = MAP_BITS // 64
+#: Rows of a group from which pairs are made block by block, and digests that may share their first half.
+BLOCK_ROWS, MOST_CLASHES = 1_000, 1_000
 #: Nodes up to which the list of texts to compare is broadcast.
 BROADCAST_NODES = 500_000
 
@@ -106,21 +108,45 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
                 yield grams[:0]
 
 
-def _node(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _halves(tokens: np.ndarray) -> tuple[int, int]:
+    """A set's digest of 128 bits as two numbers."""
+    digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-_SCAN = pa.schema([("_id", pa.int64()), ("_n", pa.int64()), ("_node", pa.int64())])
+class _Naming:
+    """Names a set's node by the first half of its digest, or by the second if different sets have the same first half."""
+
+    def __init__(self, clashes: frozenset[int]):
+        self.clashes = clashes
+
+    def __call__(self, tokens: np.ndarray) -> int:
+        first, second = _halves(tokens)
+        return second if first in self.clashes else first
+
+
+_SCAN = pa.schema([("_id", pa.int64()), ("_n", pa.int64()), ("_first", pa.int64()), ("_second", pa.int64())])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and node of every text."""
+    """Size and both halves of the digest of every text."""
     for batch in batches:
-        n, node = [], []
+        n, halves = [], []
         for tokens in shingle_sets(batch.column("_text")):
             n.append(tokens.size)
-            node.append(_node(tokens))
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64())], schema=_SCAN)
+            halves.append(_halves(tokens))
+        first, second = zip(*halves) if halves else ((), ())
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array(x, pa.int64()) for x in (n, first, second))], schema=_SCAN)
+
+
+def _named(scanned: DataFrame) -> tuple[DataFrame, _Naming]:
+    """(_id, _n, _node) and the naming; the first halves that different sets share are few (a handful among 10^10 sets) and go to the driver."""
+    halves = scanned.groupBy("_first").agg(F.min("_second").alias("_low"), F.max("_second").alias("_high")).filter("_low <> _high")
+    clashes = [r[0] for r in halves.select("_first").limit(MOST_CLASHES + 1).collect()]
+    if len(clashes) > MOST_CLASHES:
+        raise RuntimeError(f"more than {MOST_CLASHES} clashes of 64-bit digests")
+    name = F.when(F.col("_first").isin(clashes), F.col("_second")).otherwise(F.col("_first")) if clashes else F.col("_first")
+    return scanned.select("_id", "_n", name.alias("_node")), _Naming(frozenset(clashes))
 
 
 _COUNTS = pa.schema([("_token", pa.int64()), ("_count", pa.int64())])
@@ -190,7 +216,7 @@ def _pair_signatures(rare: int, frequent: np.ndarray, need: int, band: int) -> l
 _SIGNED = pa.schema([("_sig", pa.int64()), ("_node", pa.int64()), ("_n", pa.int64()), ("_r", pa.int64())])
 
 
-def _signer(frequent_tokens):
+def _signer(frequent_tokens, naming: _Naming):
     """Signatures of every text; ``frequent_tokens`` is a broadcast (sorted tokens, their ranks by count).
 
     _r is the number of rare tokens for signatures of pairs; for single tokens it is -1 - the prefix's length, -1 if
@@ -219,7 +245,7 @@ def _signer(frequent_tokens):
                     is_common = common[at] == tokens
                     if is_common.any():
                         rare, ranks = tokens[~is_common], rank[at[is_common]]
-                node, alone = _node(tokens), rare.size >= need
+                node, alone = naming(tokens), rare.size >= need
                 made = [(rare[:need].view(np.int64), -1 - need if alone else -1)]
                 if not alone:
                     frequent = tokens[is_common][np.argsort(ranks)]
@@ -241,30 +267,39 @@ def _signer(frequent_tokens):
 _SETS = pa.schema([("_node", pa.int64()), ("_set", pa.binary())])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes, sets = [], []
-        for tokens in shingle_sets(batch.column("_text")):
-            nodes.append(_node(tokens))
-            sets.append(tokens.tobytes())
-            if len(nodes) == 500:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], schema=_SETS)
-                nodes, sets = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], schema=_SETS)
+def _sets(naming: _Naming):
+    """Sets of all texts by node."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sets = [], []
+            for tokens in shingle_sets(batch.column("_text")):
+                nodes.append(naming(tokens))
+                sets.append(tokens.tobytes())
+                if len(nodes) == 500:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], schema=_SETS)
+                    nodes, sets = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], schema=_SETS)
+
+    return sets_of
 
 
 _MAPS = pa.schema([("_node", pa.int64()), *((f"_m{k}", pa.int64()) for k in range(MAP_WORDS))])
 
 
-def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parity map of every text's tokens, by their high bits."""
-    for batch in batches:
-        nodes, maps = [], np.zeros((batch.num_rows, MAP_WORDS), np.uint64)
-        for row, tokens in enumerate(shingle_sets(batch.column("_text"))):
-            nodes.append(_node(tokens))
-            odd = np.bincount((tokens >> _U(32)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) % 2 == 1
-            maps[row] = np.packbits(odd).view(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *(pa.array(x.view(np.int64)) for x in maps.T.copy())], schema=_MAPS)
+def _maps(naming: _Naming):
+    """Parity maps of all texts' tokens, by their high bits."""
+
+    def maps_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, maps = [], np.zeros((batch.num_rows, MAP_WORDS), np.uint64)
+            for row, tokens in enumerate(shingle_sets(batch.column("_text"))):
+                nodes.append(naming(tokens))
+                odd = np.bincount((tokens >> _U(32)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) % 2 == 1
+                maps[row] = np.packbits(odd).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *(pa.array(x.view(np.int64)) for x in maps.T.copy())], schema=_MAPS)
+
+    return maps_of
 
 
 _LINKS = pa.schema([("_a", pa.int64()), ("_b", pa.int64())])
@@ -290,10 +325,10 @@ def _texts(docs: DataFrame, nodes: DataFrame, texts_of: DataFrame) -> DataFrame:
     return docs.join(chosen, docs["_id"] == chosen["_rep"], "left_semi").select("_text")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, texts_of: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, texts_of: DataFrame, naming: _Naming) -> DataFrame:
     """The pairs (_a, _b) that link. Sets go to their pairs if these are few enough to be broadcast, else both are shuffled."""
     involved = broadcast_if_small(pairs.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct(), BROADCAST_NODES)
-    sets = store(_texts(docs, involved, texts_of).mapInArrow(_sets, "_node long, _set binary"))
+    sets = store(_texts(docs, involved, texts_of).mapInArrow(_sets(naming), "_node long, _set binary"))
     asked = broadcast_if_small(pairs, BROADCAST_NODES)
     a, b = asked.join(sets.toDF("_a", "_set_a"), "_a"), asked.join(sets.toDF("_b", "_set_b"), "_b")
     return a.join(b, ["_a", "_b"]).select("_a", "_b", "_set_a", "_set_b").mapInArrow(_linked, "_a long, _b long")
@@ -349,12 +384,21 @@ def _star_pairs(open_rows: DataFrame, rows: int) -> DataFrame:
 
 
 def _meetings(rows: DataFrame) -> DataFrame:
-    """Pairs of rows with the same _key, different components and sizes that allow a link; columns end in a and b."""
-    left, right = (rows.select("_key", *(F.col(c).alias(c + k) for c in rows.columns if c != "_key")) for k in "ab")
-    return left.join(right, "_key").filter("_nodea < _nodeb and _labela <> _labelb").filter(_may_link("_na", "_nb", "_ra", "_rb"))
+    """Pairs of rows with the same _key, different components and sizes that allow a link; columns end in a and b.
+
+    The rows of a large group fall into blocks by node, and every row goes to the pairs of its block with each block, so that
+    no task makes the pairs of more than a block with a block.
+    """
+    sizes = rows.groupBy("_key").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > BLOCK_ROWS)
+    blocks = F.coalesce(F.ceil(F.col("_rows") / BLOCK_ROWS), F.lit(1)).cast("int")
+    dealt = rows.join(broadcast_if_small(cut(sizes)), "_key", "left").withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    names = [c for c in rows.columns if c != "_key"]
+    left, right = (dealt.select("_key", *(F.col(c).alias(x) for c, x in zip(("_own", "_other"), at)), *(F.col(c).alias(c + k) for c in names)) for k, at in (("a", ("_i", "_j")), ("b", ("_j", "_i"))))
+    return left.join(right, ["_key", "_i", "_j"]).drop("_i", "_j").filter("_nodea < _nodeb and _labela <> _labelb").filter(_may_link("_na", "_nb", "_ra", "_rb"))
 
 
-def _all_pairs(open_rows: DataFrame, rows: int, docs: DataFrame, texts_of: DataFrame) -> DataFrame:
+def _all_pairs(open_rows: DataFrame, rows: int, docs: DataFrame, texts_of: DataFrame, naming: _Naming) -> DataFrame:
     """(_a, _b): nodes of different components that share a signature and pass the bounds."""
     merged = store(tight(open_rows.groupBy("_key", "_node", "_n", "_r", "_label").agg(F.count("*").alias("_c")), rows))
     single = tight(_meetings(merged.filter("_r < 0")), rows).groupBy("_nodea", "_nodeb", "_na", "_nb", "_ra", "_rb").agg(F.sum(F.least("_ca", "_cb")).alias("_c"))
@@ -362,7 +406,8 @@ def _all_pairs(open_rows: DataFrame, rows: int, docs: DataFrame, texts_of: DataF
     single = single.filter((F.col("_ra") == -1) | (F.col("_rb") == -1) | _enough(F.col("_c") + beyond, "_na", "_nb"))
 
     of_pairs = merged.filter("_r >= 0").drop("_c")
-    maps = _texts(docs, of_pairs.select("_node").distinct(), texts_of).mapInArrow(_maps, ", ".join(f"{f.name} long" for f in _MAPS))
+    # Written before it is joined with few rows in few partitions, so that texts are read in as many as they have.
+    maps = store(_texts(docs, of_pairs.select("_node").distinct(), texts_of).mapInArrow(_maps(naming), ", ".join(f"{f.name} long" for f in _MAPS)))
     differ = sum((F.bit_count(F.col(f"_m{k}a").bitwiseXOR(F.col(f"_m{k}b"))) for k in range(MAP_WORDS)), F.lit(0))
     double = _meetings(store(tight(of_pairs.join(maps, "_node"), rows))).filter((OF + LEAST) * differ <= (OF - LEAST) * (F.col("_na") + F.col("_nb")))
     met = [tight(x, rows).select(F.col("_nodea").alias("_a"), F.col("_nodeb").alias("_b")) for x in (single, double)]
@@ -373,25 +418,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, n_shingles, component_id."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    nodes = cut(rows.mapInArrow(_scan, "_id long, _n long, _node long"))
+    nodes, naming = _named(cut(rows.mapInArrow(_scan, "_id long, _n long, _first long, _second long")))
     texts_of = nodes.filter("_n > 1 and _id is not null").groupBy("_node").agg(F.min("_id").alias("_rep"))
     texts_of = cut(tight(texts_of, nodes.count()))
     frequent = spark.sparkContext.broadcast(_frequent(rows))
 
-    signed = rows.filter("_id is not null").select("_text").mapInArrow(_signer(frequent), "_sig long, _node long, _n long, _r long")
-    every = Window.partitionBy("_sig")
-    several = signed.withColumns({"_low": F.min("_node").over(every), "_high": F.max("_node").over(every)}).filter("_low <> _high")
-    shared = store(several.drop("_low", "_high").distinct())
+    signed = store(rows.filter("_id is not null").select("_text").mapInArrow(_signer(frequent, naming), "_sig long, _node long, _n long, _r long"))
     frequent.destroy()
+    several = cut(signed.groupBy("_sig").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).filter("_low <> _high").select("_sig"))
+    shared = store(signed.join(broadcast_if_small(several, BROADCAST_NODES), "_sig", "left_semi").distinct())
     many = shared.count()
 
     links, tried, labels = None, None, None
     for number in range(STAR_ROUNDS + 1):
         open_rows = _open_rows(shared, many, labels, number)
-        pairs = _all_pairs(open_rows, many, rows, texts_of) if number == STAR_ROUNDS else _star_pairs(open_rows, many)
+        pairs = _all_pairs(open_rows, many, rows, texts_of, naming) if number == STAR_ROUNDS else _star_pairs(open_rows, many)
         pairs = cut(pairs if tried is None else pairs.join(broadcast_if_small(tried, BROADCAST_NODES), ["_a", "_b"], "left_anti"))
         pairs = tight(pairs, pairs.count())
-        found = cut(_verify(pairs, rows, texts_of))
+        found = cut(_verify(pairs, rows, texts_of, naming))
         tried = pairs if tried is None else tried.unionByName(pairs)
         if found.isEmpty() and labels is not None:
             continue
