@@ -15,11 +15,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Two-letter day names from Sunday, and the words for days, sets of days and states in English and Russian.
-DAYS = ("su", "mo", "tu", "we", "th", "fr", "sa")
+# Fixed values. Day names and Russian abbreviations from Sunday, as in CLDR; Russian names stand without their ending, as they are
+# inflected. Words of states and sets of days are those that listings of both languages use.
+ENGLISH = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
+RUSSIAN = (("вс", "воскресень"), ("пн", "понедельник"), ("вт", "вторник"), ("ср", "сред"), ("чт", "четверг"), ("пт", "пятниц"), ("сб", "суббот"))
 WORDS = (
-    ("day", r"(?:sun|mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?)(?:days?)?|su|mo|tu|we|th|fr|sa"),
-    ("ru_day", r"воскресенье|вс|понедельник|пн|вторник|вт|сред[аыуе]|ср|четверг|чт|пятниц[аыуе]|пт|суббот[аыуе]|сб"),
     ("always", r"24\s*/\s*7|(?:open )?24 ?(?:hours|h)|around the clock|круглосуточно|24 часа"),
     ("every", r"daily|every ?day|all week|ежедневно|каждый день|без выходных"),
     ("work", r"weekdays|working days|будни|по будням|рабочие дни"),
@@ -29,12 +29,17 @@ WORDS = (
     ("clock", r"noon|midnight|полдень|полночь"),
     ("dash", r"to|till|until|до"),
 )
-RU_DAYS = ("вс", "по", "вт", "ср", "че", "пя", "су")
-RU_SHORT = ("вс", "пн", "вт", "ср", "чт", "пт", "сб")
+
+
+def _day_words(day: int) -> str:
+    """An English name or its first two letters or more, with a plural s; a Russian abbreviation, or a stem with any ending of up to three letters."""
+    name, (short, stem) = ENGLISH[day], RUSSIAN[day]
+    return "|".join([*(name[:n] for n in range(len(name), 1, -1)), f"{name}s", short, rf"{stem}[а-я]{{0,3}}"])
+
 
 WEEK_TYPE = "array<array<struct<start:int,end:int>>>"
 _MARK = re.compile(
-    "|".join(rf"(?P<{kind}>(?<![^\W\d_])(?:{words})(?![^\W\d_]))" for kind, words in WORDS)
+    "|".join(rf"(?P<{kind}>(?<![^\W\d_])(?:{words})(?![^\W\d_]))" for kind, words in (*((f"day{d}", _day_words(d)) for d in range(7)), *WORDS))
     + r"|(?P<time>\d{1,2})(?:[:.](?P<minute>\d{2}))?\s*(?P<half>[ap]\.?m\b\.?)?|(?P<line>-)|(?P<end>;)|(?P<comma>,)"
 )
 _EVERY, _WORK, _REST = tuple(range(7)), (1, 2, 3, 4, 5), (6, 0)
@@ -63,10 +68,8 @@ def _marks(text: str) -> list[tuple[str, object]]:
             found.append(("time", (int(m["time"]), int(m["minute"] or 0), (m["half"] or "")[:1], m["minute"] is not None)))
         elif kind == "clock":
             found.append(("time", ((12, 0, "", True) if m[0] in ("noon", "полдень") else (0, 0, "", True))))
-        elif kind == "day":
-            found.append(("day", DAYS.index(m[0][:2])))
-        elif kind == "ru_day":
-            found.append(("day", (RU_SHORT if len(m[0]) == 2 else RU_DAYS).index(m[0][:2])))
+        elif kind.startswith("day"):
+            found.append(("day", int(kind[3:])))
         else:
             found.append(("dash" if kind == "line" else kind, None))
     return found
@@ -77,7 +80,7 @@ def _minutes(hour: int, minute: int, half: str) -> int | None:
         if not 1 <= hour <= 12:
             return None
         hour = hour % 12 + 12 * (half == "p")
-    return hour * 60 + minute if hour * 60 + minute <= 1560 and minute < 60 else None
+    return hour * 60 + minute if hour * 60 + minute <= 1440 and minute < 60 else None
 
 
 def _span(first: tuple, last: tuple) -> dict[str, int] | None:
@@ -183,19 +186,20 @@ def sane(text: Column, week: Column, eatery: Column) -> Column:
 
 
 def summary(week: Column, day: Column, minute: Column) -> Column:
-    """What a card says about the hours now; null if they are unknown."""
-    ends, opens = closing(week, day, minute), next_opening(week, day, minute)
-    now = F.get(F.filter(F.get(week, day), lambda s: (s["start"] <= minute) & (minute < s["end"])), F.lit(0))
+    """What a card says about the hours now; null if they are unknown.
+
+    The sentence is a state and its detail. Open: the span of today that holds the minute, or else the end of yesterday's that does.
+    Closed: the next opening with its day, if there is one within a week.
+    """
+    today = F.get(week, day)
+    span = F.get(F.filter(today, lambda s: (s["start"] <= minute) & (minute < s["end"])), F.lit(0))
+    opens = next_opening(week, day, minute)
     ahead = F.floor(opens / 1440).cast("int")
-    names = F.array(*(F.lit(d.capitalize()) for d in ("sun", "mon", "tue", "wed", "thu", "fri", "sat")))
-    when = F.when(ahead == 0, F.lit("")).when(ahead == 1, F.lit("tomorrow ")).otherwise(F.concat(F.get(names, F.pmod(day + ahead, F.lit(7))), F.lit(" ")))
-    return (
-        F.when(week.isNull(), None)
-        .when(is_always(week), "Open 24 hours")
-        .when((now["start"] == 0) & (now["end"] >= 1440), "Open 24 hours today")
-        .when(now.isNotNull(), F.concat(F.lit("Open today "), clock(now["start"]), F.lit("–"), clock(now["end"])))
-        .when(ends.isNotNull(), F.concat(F.lit("Open now · until "), clock(ends)))
-        .when(F.get(week, day).isNull(), None)
-        .when(opens.isNotNull(), F.concat(F.lit("Closed now · opens "), when, clock(opens)))
-        .otherwise("Closed now")
-    )
+    name = F.get(F.array(*(F.lit(n[:3].capitalize()) for n in ENGLISH)), F.pmod(day + ahead, F.lit(7)))
+    when = F.concat_ws(" ", F.when(ahead == 1, "tomorrow").when(ahead > 1, name), clock(opens))
+    whole_day = (span["start"] == 0) & (span["end"] >= 1440)
+    open_today = F.when(whole_day, "Open 24 hours today").otherwise(F.concat(F.lit("Open today "), clock(span["start"]), F.lit("–"), clock(span["end"])))
+    ends = closing(week, day, minute)
+    open_since_yesterday = F.when(ends.isNotNull(), F.concat(F.lit("Open now · until "), clock(ends)))
+    closed = F.when(today.isNotNull(), F.concat_ws(" · opens ", F.lit("Closed now"), F.when(opens.isNotNull(), when)))
+    return F.when(is_always(week), "Open 24 hours").otherwise(F.coalesce(F.when(span.isNotNull(), open_today), open_since_yesterday, closed))

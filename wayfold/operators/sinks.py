@@ -5,9 +5,13 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folder of the pointers below a published folder, and attempts to add one among other publishers.
+POINTERS, MOST_PUBLISHERS = "_pointers", 20
+
 
 def compact(rows: DataFrame, keys: list[str], success: Column, order: Column) -> DataFrame:
     """One row per key: the last successful one, else the last; aggregated before rows are shuffled."""
@@ -27,37 +31,64 @@ def may_publish(places: int, failed: int, targets: int, least_places: int = 500,
     return places >= least_places and failed <= most_failed * max(targets, 1)
 
 
-def _pointer(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
+def _files(spark: SparkSession, folder: str):
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{POINTERS}")
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def _published(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the published versions; a pointer appears by a rename, so that every one is whole."""
+    path, files = _files(spark, folder)
+    names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
 def current_version(spark: SparkSession, folder: str) -> str | None:
-    """The path of the published version, None before the first."""
-    path, files = _pointer(spark, folder)
-    if not files.exists(path):
+    """The path of the published version, None before the first: the pointer with the highest number counts."""
+    numbers = _published(spark, folder)
+    if not numbers:
         return None
-    return json.loads(spark.read.text(str(path)).first()[0])["path"]
+    return json.loads(spark.read.text(f"{folder}/{POINTERS}/{numbers[-1]:012d}").first()[0])["path"]
 
 
-def publish(rows: DataFrame, folder: str) -> str | None:
-    """Writes ``rows`` aside as a new version and then turns the pointer ``CURRENT`` to it by a rename; readers see the old or the new one.
-
-    Rows without any content never replace a published version: None is returned and nothing changes.
+def _point(spark: SparkSession, folder: str, version: str) -> None:
+    """Adds a pointer to a version: written aside, then renamed to the next number, which fails if another publisher took it, and is tried again."""
+    jvm, (path, files) = spark._jvm, _files(spark, folder)
+    files.mkdirs(path)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{folder}/{POINTERS}/new-{uuid.uuid4().hex}")
+    out = files.create(aside)
+    out.write(bytearray(json.dumps({"path": version}).encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    for _ in range(MOST_PUBLISHERS):
+        number = max([0, *_published(spark, folder)]) + 1
+        try:
+            return context.rename(aside, jvm.org.apache.hadoop.fs.Path(f"{folder}/{POINTERS}/{number:012d}"), options)
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" not in str(error.java_exception):
+                raise
+    raise RuntimeError(f"no free pointer in {folder} after {MOST_PUBLISHERS} attempts")
+
+
+def publish(rows: DataFrame, folder: str, outcomes: DataFrame | None = None, **limits) -> str | None:
+    """Writes ``rows`` aside as a new version, then adds a pointer to it; readers see the version before or this one, at any moment.
+
+    Rows without any content never replace a published version, and with ``outcomes`` (ok: whether a target of the build came through)
+    the build must pass ``may_publish``, over what was written and how many targets failed: else None is returned and nothing changes.
     """
     spark = rows.sparkSession
     version = f"{folder}/version-{uuid.uuid4().hex}"
     rows.write.parquet(version)
-    if spark.read.schema(rows.schema).parquet(version).isEmpty():
+    places = spark.read.schema(rows.schema).parquet(version).count()
+    if not places:
         return None
-    path, files = _pointer(spark, folder)
-    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT-{uuid.uuid4().hex}")
-    out = files.create(aside)
-    out.write(bytearray(json.dumps({"path": version}).encode()))
-    out.close()
-    files.delete(path, False)
-    if not files.rename(aside, path):
-        raise RuntimeError(f"{path} could not be replaced")
+    if outcomes is not None:
+        told = outcomes.agg(F.count("*").alias("targets"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("failed")).first()
+        if not may_publish(places, told.failed, told.targets, **limits):
+            return None
+    _point(spark, folder, version)
     return version
 
 

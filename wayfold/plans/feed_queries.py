@@ -12,18 +12,18 @@ from wayfold.sources.tables import located, table
 
 #: Opening-hours texts with their minutes a week, what a card says on a Monday at 11:00, and whether an eatery may have them.
 HOURS = (
-    ("Mo-Fr 10:00-22:00, Sa,Su 11:00-23:00", 5040, "Open today 10:00–22:00", True),
-    ("daily 12:00-23:30", 4830, "Closed now · opens 12:00", True),
-    ("weekdays 9am-10am", 300, "Closed now · opens tomorrow 09:00", False),
-    ("noon - 10pm", 4200, "Closed now · opens 12:00", True),
-    ("пн-чт 12:00-00:00, пт-сб 12:00-06:00", 5040, "Closed now · opens 12:00", True),
-    ("24/7", 10080, "Open 24 hours", True),
-    ("Su-We 08:00-24:00; Th-Sa 08:00-01:00", 6900, "Open today 08:00–00:00", True),
-    ("Fr-Su 00:00-12:15", 2205, "Closed now · opens Fri 00:00", False),
-    ("12:00-12:00", 10080, "Open now · until 12:00", False),
-    ("Mo off; Tu-Su 18:00-02:00", 2880, "Closed now · opens tomorrow 18:00", True),
-    ("by arrangement", None, None, True),
-    ("Mo-Su,PH 10:00-20:00", 4200, "Open today 10:00–20:00", True),
+    ("Mo-Th 09:30-21:00; Fr-Su 10:00-23:30", 5190, "Open today 09:30–21:00", True),
+    ("every day 13:15-20:45", 3150, "Closed now · opens 13:15", True),
+    ("weekdays 8am-9:30am", 450, "Closed now · opens tomorrow 08:00", False),
+    ("noon - 7:30 pm", 3150, "Closed now · opens 12:00", True),
+    ("понедельник-среда 14:00-01:00, воскресенье 15:00-19:00", 2220, "Closed now · opens 14:00", True),
+    ("around the clock", 10080, "Open 24 hours", True),
+    ("Mo 10:30-24:00; Tu-Su 10:30-02:30", 6570, "Open today 10:30–00:00", True),
+    ("Wed-Thu 00:00-11:45", 1410, "Closed now · opens Wed 00:00", False),
+    ("11:30-11:30", 10080, "Open now · until 11:30", False),
+    ("Mondays closed, Tu-Su 17:45-00:45", 2520, "Closed now · opens tomorrow 17:45", True),
+    ("ask at the door", None, None, True),
+    ("ежедневно 10:15-18:00; воскресенья выходной", 2790, "Open today 10:15–18:00", True),
 )
 
 
