@@ -51,7 +51,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm import arrays
@@ -423,10 +423,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts_of = cut(tight(texts_of, nodes.count()))
     frequent = spark.sparkContext.broadcast(_frequent(rows))
 
-    signed = store(rows.filter("_id is not null").select("_text").mapInArrow(_signer(frequent, naming), "_sig long, _node long, _n long, _r long"))
+    signed = rows.filter("_id is not null").select("_text").mapInArrow(_signer(frequent, naming), "_sig long, _node long, _n long, _r long")
+    # A rare token has few nodes, and a window finds those with several in one shuffle. Pairs of frequent tokens may be those of a third
+    # of all texts: they are aggregated before the shuffle, and their rows are joined with what is left.
+    every = Window.partitionBy("_sig")
+    single = signed.filter("_r < 0").withColumns({"_low": F.min("_node").over(every), "_high": F.max("_node").over(every)}).filter("_low <> _high").drop("_low", "_high")
+    paired = store(signed.filter("_r >= 0"))
+    several = cut(paired.groupBy("_sig").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).filter("_low <> _high").select("_sig"))
+    double = paired.join(broadcast_if_small(several, BROADCAST_NODES), "_sig", "left_semi")
+    shared = store(single.unionByName(double).distinct())
     frequent.destroy()
-    several = cut(signed.groupBy("_sig").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).filter("_low <> _high").select("_sig"))
-    shared = store(signed.join(broadcast_if_small(several, BROADCAST_NODES), "_sig", "left_semi").distinct())
     many = shared.count()
 
     links, tried, labels = None, None, None
