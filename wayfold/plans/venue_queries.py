@@ -159,7 +159,10 @@ SELECT pid, region FROM ({SQL_VENUES}) v, e WHERE (y1 > lat) <> (y2 > lat) AND l
 def event_matches(spark, sf):
     """Pairs of venue events with overlapping days, at most 400 m apart, whose name words overlap by 3/4 of the shorter or half of the longer name."""
     v = venues(spark, sf).filter("category in ('museum', 'bar')").select("pid", "lat", "lon", "day_start", "day_end", F.array_distinct(F.split(F.lower("name"), " ")).alias("w"))
-    pairs = resolve.pairs_within(v, v, 0.4, 200).filter("l.pid < r.pid and l.day_start <= r.day_end and r.day_start <= l.day_end")
+    # Every row goes to the weeks of its days; a pair counts in the first week that both have.
+    week = lambda day: F.floor(F.datediff(F.col(day), F.lit("1970-01-01").cast("date")) / 7)
+    v = v.withColumn("first_week", week("day_start")).withColumn("week", F.explode(F.sequence("first_week", week("day_end"))))
+    pairs = resolve.pairs_within(v, v, 0.4, 200, ("week",)).filter("l.pid < r.pid and l.day_start <= r.day_end and r.day_start <= l.day_end and l.week = greatest(l.first_week, r.first_week)")
     both = F.size(F.array_intersect("l.w", "r.w"))
     small, large = F.least(F.size("l.w"), F.size("r.w")), F.greatest(F.size("l.w"), F.size("r.w"))
     return pairs.filter((both >= 0.75 * small) | (both >= 0.5 * large)).select(F.col("l.pid").alias("first"), F.col("r.pid").alias("second"))

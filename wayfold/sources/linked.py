@@ -107,9 +107,9 @@ def walk(parsed: DataFrame, key: str, depth: int, fields: Callable[[Column], Col
     now = parsed.select(key, first.alias("_0"))
     for level in range(1, depth + 1):
         now = now.withColumn(f"_{level}", F.flatten(F.transform(f"_{level - 1}", lambda n: _below(n, fields))))
-    hits = [F.filter(f"_{level}", lambda n: as_object(n["value"]).isNotNull() & wanted(n["value"])) for level in range(depth + 1)]
+    found = now.select(key, F.filter(F.concat(*(f"_{level}" for level in range(depth + 1))), lambda n: as_object(n["value"]).isNotNull() & wanted(n["value"])).alias("_hits"))
     # Variants don't compare, so paths are sorted and looked up again.
-    found = now.select(key, F.concat(*hits).alias("_hits")).withColumn("_order", F.array_sort(F.transform("_hits", lambda n: n["path"])))
+    found = found.withColumn("_order", F.array_sort(F.transform("_hits", lambda n: n["path"])))
     # An inner explode would add a filter on the size of the hits, which repeats the whole walk below it.
     rows = found.select(key, "_order", F.explode_outer("_hits").alias("_hit")).filter("_hit is not null").withColumn("position", F.array_position("_order", F.col("_hit.path")).cast("int") - 1)
     rows = rows if most is None else rows.filter(F.col("position") < most)
