@@ -66,7 +66,7 @@ FREQUENT_LEAST, FREQUENT_TOKENS, COUNTED = 16, 1 << 20, 0.3
 #: Share of a task's texts, and number, from which the task reports a token.
 REPORT_SHARE, REPORT_LEAST = 0.0005, 4
 #: Tokens that a task gathers before it drops those it saw once.
-GATHERED = 2 << 20
+GATHERED = 1 << 20
 BAND = 1.34
 #: Rounds of comparisons with leaders, and the least share of a node's tokens that it then has in common with its leader as signatures.
 STAR_ROUNDS = 3
