@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_operators import EDGE, PAGE, brute_components, normal, shingles
-from wayfold.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, ngram_join, source_mix, toxicity, url_lists
+from wayfold.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, ngram_join, secret_scan, source_mix, toxicity, url_lists
 
 SF = "/root/testdata/sf0.001"
 
@@ -267,3 +267,40 @@ def test_no_coalesce_above_a_scan_of_texts(spark, monkeypatch):
             for inner, text in below:
                 open_lines = [x for x in open_lines if x[0] < inner] + [(inner, text)]
                 assert "documents.parquet" not in text or any("Exchange" in t for _, t in open_lines), plan
+
+
+def test_field_finds_secrets_without_a_base_form(spark):
+    """Secrets of other forms are planted into given texts; the field must find nine in ten of them and add nothing to the texts as given."""
+    draw = np.random.default_rng(3)
+    small, upper, digits = list("abcdefghijklmnopqrstuvwxyz"), list("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), list("0123456789")
+    some = lambda letters, n: "".join(draw.choice(letters, n))
+    forms = [lambda: "ghp_" + some(small + upper + digits, 36), lambda: "sk-" + some(small + upper + digits, 48), lambda: some(small + upper + digits + ["+", "/"], 40), lambda: some(digits + upper[:6], 40)]
+    leads = ["auth_key = ", 'client: "', "Bearer ", "", "key: ", "export X="]
+    given = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").filter("doc_id % 2 = 1")
+    rows, planted = [], {}
+    for r in given.filter("doc_id % 50 = 3 and text is not null").collect():
+        words = r.text.split(" ")
+        at = int(draw.integers(len(words) + 1))
+        lead, secret = leads[len(rows) % len(leads)], forms[len(rows) % len(forms)]()
+        head = " ".join(words[:at]) + " " + lead
+        rows.append((10**6 + r.doc_id, head + secret + ('"' if lead.endswith('"') else "") + " " + " ".join(words[at:])))
+        planted[10**6 + r.doc_id] = len(head), len(head) + len(secret)
+    out = {r.doc_id: r for r in secret_scan.scan_secrets(given.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    spans = lambda r: [tuple(map(int, s.split(":")[1:])) for s in filter(None, r.spans.split(","))]
+    found = sum(any(a <= x + 4 and y <= b for a, b in spans(out[k])) for k, (x, y) in planted.items())
+    assert found >= 0.9 * len(planted) > 80
+    assert sum(r.n_crf for k, r in out.items() if k < 10**6) <= 1
+
+
+def test_templates_with_history_are_rendered_whole(spark):
+    """Past any number of turns a template sees the whole conversation, and a wrong declaration is found out."""
+    numbered = lambda messages: "".join(f"{i}:{role}:{text};" for i, (role, text) in enumerate(messages))
+    talk = [("user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(90)]
+    rows = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(talk)], "conv_id long, turn long, role string, text string")
+    out = chat_format.format_chats(rows, numbered).orderBy("position").collect()
+    assert "".join(r.piece for r in out) == numbered(talk) and not any(r.rewrites_history or r.not_located for r in out)
+    list(chat_format.incremental(iter(talk), turn_local=True))
+    whole = [x[1] for x in chat_format.incremental(iter(talk))]
+    assert [x[1] for x in chat_format.incremental(iter(talk), turn_local=True)] == whole
+    with pytest.raises(ValueError, match="turn-local"):
+        list(chat_format.incremental(iter(talk), numbered, turn_local=True))

@@ -8,16 +8,16 @@ probe character for its text.
 
 Every turn is rendered behind the whole conversation before it, so that a black-box template sees what
 it would see anywhere; a task then holds one conversation, and the work grows with the square of its turns.
-A template that renders each turn by itself, as the one here does, can be declared turn-local
-(``turn_local=True``): after ``WINDOW`` turns the older half leaves its prefix, which changes no piece,
-and the work per turn and the memory of a task stay bounded.
+Only if the caller declares the template turn-local (``turn_local=True``: it renders each turn by itself) does the older
+half leave the prefix after ``WINDOW`` turns, so that the work per turn and the memory of a task stay bounded. The
+declaration is checked: over the turns of the first ``CHECKED`` such prefixes both renderings are made, and a template whose pieces differ ends the job.
 
 The template here writes ``<s>[role] text [/role]</s>`` for each turn. In roles and texts the four
 characters ``\\ < [ ]`` are escaped by a backslash and a letter, so that no control string can occur in
 them, and ``read_back`` undoes it. Assistant texts are under the loss mask.
 
 Turns are dealt by conversation and sorted within partitions; a conversation is read as a stream and, with
-a turn-local template, never held as a whole. Defined cases: a null text or role counts as empty; rows with equal turn are ordered
+a declared turn-local template, never held as a whole. Defined cases: a null text or role counts as empty; rows with equal turn are ordered
 by role, then text (repeated rows are turns of their own); null turns come first; very long texts are rendered whole; rows with a null conversation id form one conversation;
 an empty table gives no rows.
 """
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Message = tuple[str, str]
-WINDOW = 32
+WINDOW, CHECKED = 32, 2
 PROBE = "\x00"
 LOSS_ROLE = "assistant"
 
@@ -71,28 +71,37 @@ def read_back(output: str) -> list[Message]:
     return turns
 
 
-def incremental(messages: Iterator[Message], template: Callable[[list[Message]], str] = render, window: int = WINDOW, turn_local: bool | None = None) -> Iterator[tuple[str, str, int, int, bool]]:
+def incremental(messages: Iterator[Message], template: Callable[[list[Message]], str] = render, window: int = WINDOW, turn_local: bool = False) -> Iterator[tuple[str, str, int, int, bool]]:
     """(role, piece, text start, text end, rewrites) for each turn; text positions are within the piece, -1 if not found.
 
-    Only a turn-local template is rendered in windows; None means that ``render`` is one and others are not.
+    Only with ``turn_local`` are prefixes cut to windows; a template that turns out not to be turn-local then raises.
     """
-    windowed = template is render if turn_local is None else turn_local
     prefix: list[Message] = []
+    whole: list[Message] | None = []  # the uncut prefix, while the declaration is checked
+    cuts = 0
     before = template(prefix)
     for role, text in messages:
         now = template([*prefix, (role, text)])
         rewrites = not now.startswith(before)
         start = len(os.path.commonprefix([before, now])) if rewrites else len(before)
         piece = now[start:]
+        if turn_local and whole is not None and cuts:
+            known = template(whole)
+            if template([*whole, (role, text)]) != known + piece or rewrites:
+                raise ValueError("the template was declared turn-local, but renders a turn differently behind a longer prefix")
         probed = template([*prefix, (role, PROBE)])[start:]
         at = probed.find(PROBE)
         tail = len(probed) - at - len(PROBE)
         fits = at >= 0 and at + tail <= len(piece) and piece.startswith(probed[:at]) and piece.endswith(probed[len(probed) - tail :])
         yield role, piece, at if fits else -1, len(piece) - tail if fits else -1, rewrites
         prefix.append((role, text))
-        if windowed and len(prefix) >= window:
+        if whole is not None:
+            whole = [*whole, (role, text)] if turn_local else None
+        if turn_local and len(prefix) >= window:
             prefix = prefix[window // 2 :]
             before = template(prefix)
+            cuts += 1
+            whole = None if cuts > CHECKED else whole
         else:
             before = now
 
@@ -163,15 +172,14 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_chats(
     turns: DataFrame, template: Callable[[list[Message]], str] = render, window: int = WINDOW, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-    turn_local: bool | None = None,
+    turn_local: bool = False,
 ) -> DataFrame:
     """One row per turn, in order within partitions: conv_id, position, role, piece (what the turn adds to the output),
     start and end in the output, loss_start and loss_end (assistant text), rewrites_history, not_located (the template changes the
     turn's text beyond what a probe can find, so that an assistant text is not under the mask). ``turn_local`` as in ``incremental``."""
-    local = template is render if turn_local is None else turn_local
     rows = turns.select(F.col(conv_col).alias("_conv"), F.col(turn_col).alias("_turn"), F.col(role_col).alias("_role"), F.col(text_col).alias("_text"))
     dealt = rows.repartition("_conv").sortWithinPartitions("_conv", "_turn", "_role", "_text").select("_conv", "_role", "_text")
-    return dealt.mapInArrow(_format(template, window, local), _PIECES)
+    return dealt.mapInArrow(_format(template, window, turn_local), _PIECES)
 
 
 def digest_chats(pieces: DataFrame) -> DataFrame:

@@ -5,13 +5,18 @@ secret part is too short is dropped. A span is the whole match.
 
 The field tags tokens as begin, inside or outside of a secret. Tokens are runs of word characters
 (letters, digits, ``+ / _ . -`` and all non-ASCII bytes) and single other symbols. Features of a token
-are its shape (length, and which of lower case, capitals, digits and symbols it mixes), the kinds of the
+are its shape (length; which of lower case, capitals, digits and symbols it mixes; the share of digits; how often it changes between
+these), each by itself so that unseen shapes are judged by what they have in common with seen ones, the kinds of the
 two tokens before and the one after it (words that announce secrets, ``=`` or ``:``, quotes, plain words,
 numbers, ...), and a feature of the file (how much of it are tokens that mix letters and digits).
 Weights and transitions are fitted in numpy by gradient ascent on the log likelihood (forward-backward
-over windows of tokens) from at most ``TRAIN_DOCS`` documents with the smallest hashes of their id; the
-base spans are the labels, and the announcing words are left out of some windows so that shape alone
-is learned too. Decoding is Viterbi. A decoded span that overlaps no base span is added with kind ``crf``.
+over windows of tokens) from at most ``TRAIN_DOCS`` documents with the smallest hashes of their id, and of their
+windows at most ``MOST_WINDOWS`` with spans and as many without, again by hash. The base spans are the labels. So that the field
+learns more than the patterns know, the announcing word, and the marks beside a secret, are hidden in most windows
+anew in every round, and the shapes of part of the secrets are replaced by those of random strings of other alphabets, lengths and
+prefixes (``POOL`` of them), and part get other neighbours: a corpus may hold secrets of one form and place only, but what makes a
+secret is that it is random. Windows inside a text begin behind an outside token, as runs do in decoding; start weights are learned at text starts only.
+Decoding is Viterbi. A decoded span that overlaps no base span is added with kind ``crf``.
 
 Viterbi runs only where it can matter, which is exact: with r the range of the transition weights, a token
 whose ``outside`` weight exceeds both others by more than 2 r is outside on the best path whatever its
@@ -44,7 +49,15 @@ KINDS = (
 )
 ANNOUNCING = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-TRAIN_DOCS = 8_000
+TRAIN_DOCS, MOST_WINDOWS = 8_000, 2_000
+#: Shares of the windows whose announcing words are hidden, and whose marks are hidden, in a round.
+HIDE_WORDS, HIDE_MARKS = 0.7, 0.6
+#: Most that a window with a span counts beside one without: as much as makes both kinds even.
+MOST_WEIGHT = 200.0
+#: Share of the secrets that get the shape of a random string in a round, and such strings.
+RESHAPED, POOL = 0.7, 2_000
+#: Share of the secrets that get other neighbours in a round, and the kinds of those: words, marks, quotes, announcing words, an end.
+MOVED, PLACES = 0.6, (0, 1, 4, 5, 7, 8, 9)
 TRAIN_WINDOW = 24
 ROUNDS = 100
 RATE = 0.3
@@ -63,9 +76,10 @@ _CLASS[1, 65:91] = 1
 _CLASS[2, 48:58] = 1
 _CLASS[3, [ord(c) for c in "+/_.-"]] = 1
 
-#: Numbers of feature values: shape, kind two before, kind before, kind after, file.
-SHAPES, TOKEN_KINDS, FILES = 8 * 16 * 3, 9, 4
-_SIZES = (SHAPES, TOKEN_KINDS + 1, TOKEN_KINDS + 1, TOKEN_KINDS + 1, FILES)
+#: Numbers of feature values: length, mix, balance, changes, kind two before, kind before, kind after, file.
+LENGTHS, MIXES, BALANCES, CHANGES, TOKEN_KINDS, FILES = 8, 16, 3, 5, 9, 4
+_SIZES = (LENGTHS, MIXES, BALANCES, CHANGES, TOKEN_KINDS + 1, TOKEN_KINDS + 1, TOKEN_KINDS + 1, FILES)
+_MIX, _TWO_BEFORE, _BEFORE, _AFTER = 1, 4, 5, 6
 _OFFSETS = np.concatenate([[0], np.cumsum(_SIZES)])
 _ANNOUNCING_HASHES: list[np.ndarray] = []
 
@@ -117,7 +131,10 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.n
     sized = np.searchsorted([2, 5, 8, 12, 16, 24, 32], length, "right")
     letters = lower + upper
     balance = np.where(digit * 8 < letters, 0, np.where(digit * 2 <= letters, 1, 2))
-    shape = (sized * 16 + mixes) * 3 + balance
+    of = _CLASS.argmax(0)[data]
+    turns = np.zeros(data.size + 1, np.int32)
+    np.cumsum(of[1:] != of[:-1], out=turns[2:]) if data.size > 1 else None
+    changes = np.searchsorted([0.01, 0.12, 0.3, 0.45], (turns[ends] - turns[np.minimum(starts + 1, ends)]) / length, "right")
 
     byte = data[starts] if starts.size else data[:0]
     mixed = (digit > 0) & (letters > 0) & (length >= 8)
@@ -144,7 +161,22 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.n
 
     share = np.bincount(owner, weights=mixed, minlength=texts) / np.maximum(np.bincount(owner, minlength=texts), 1)
     file = np.searchsorted([0.002, 0.02, 0.2], share, "right")[owner]
-    return np.stack([shape, beside(2), beside(1), beside(-1), file], 1) + _OFFSETS[:-1]
+    return np.stack([sized, mixes, balance, changes, beside(2), beside(1), beside(-1), file], 1) + _OFFSETS[:-1]
+
+
+def _random_shapes(draw: np.random.Generator) -> np.ndarray:
+    """Shape columns of random strings of 16 to 64 characters from usual alphabets, half of them behind a short prefix."""
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = [lower + digits, upper + digits, lower + upper + digits, lower + upper + digits + "+/", lower + upper + digits + "-_", digits + "abcdef", digits + "ABCDEF"]
+    said = []
+    for k in range(POOL):
+        letters = list(alphabets[k % len(alphabets)])
+        prefix = "".join(draw.choice(list(lower), draw.integers(2, 5))) + str(draw.choice(["_", "-"])) if draw.random() < 0.5 else ""
+        said.append(prefix + "".join(draw.choice(letters, draw.integers(16, 65))))
+    data = np.frombuffer(" ".join(said).encode(), np.uint8)
+    offsets = np.array([0, data.size])
+    starts, ends, owner = tokens(data, offsets)
+    return features(data, starts, ends, owner, 1)[:, :_TWO_BEFORE]
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -152,25 +184,36 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - most).sum(axis)) + most.squeeze(axis)
 
 
-def fit(windows: np.ndarray, labels: np.ndarray, seed: int = SEED) -> Field:
-    """Maximum likelihood by Adagrad. ``windows``: n x length x features, ``labels``: n x length, -1 after a window's end."""
+def fit(windows: np.ndarray, labels: np.ndarray, begins: np.ndarray, seed: int = SEED) -> Field:
+    """Maximum likelihood by Adagrad. ``windows``: n x length x features, ``labels``: n x length, -1 after a window's end, ``begins``: whether a window begins its text."""
     draw = np.random.default_rng(seed)
     n, length, _ = windows.shape
     inside = labels >= 0
     w, steps, start = np.zeros((_OFFSETS[-1], 3)), np.zeros((3, 3)), np.zeros(3)
     sums = [np.full(x.shape, 1e-6) for x in (w, steps, start)]
     gold = np.eye(3)[np.maximum(labels, 0)] * inside[..., None]
-    announced = _OFFSETS[1] + 8, _OFFSETS[2] + 8
+    spanned = (labels == _B).any(1)
+    weight = np.where(spanned, min(MOST_WEIGHT, (~spanned).sum() / max(spanned.sum(), 1)) or 1.0, 1.0)
+    weight *= n / weight.sum()
+    pool = _random_shapes(draw)
+    secrets = np.argwhere((labels == _B) & (np.pad(labels, ((0, 0), (0, 1)), constant_values=_O)[:, 1:] != _I))
     for _ in range(ROUNDS):
         seen = windows.copy()
-        hide = draw.random(n) < 0.3
-        for column, value in ((1, announced[0]), (2, announced[1])):
-            part = seen[hide, :, column]
-            part[part == value] = value - 8
-            seen[hide, :, column] = part
+        hide, blur = draw.random(n) < HIDE_WORDS, draw.random(n) < HIDE_MARKS
+        for column in (_TWO_BEFORE, _BEFORE, _AFTER):
+            plain = _OFFSETS[column]
+            for chosen, kinds in ((hide, (8,)), (blur, (4, 5))):
+                part = seen[chosen, :, column]
+                part[np.isin(part, [plain + k for k in kinds])] = plain
+                seen[chosen, :, column] = part
+        reshaped = secrets[draw.random(len(secrets)) < RESHAPED]
+        seen[reshaped[:, 0], reshaped[:, 1], :_TWO_BEFORE] = pool[draw.integers(0, len(pool), len(reshaped))]
+        moved = secrets[draw.random(len(secrets)) < MOVED]
+        for column in (_TWO_BEFORE, _BEFORE, _AFTER):
+            seen[moved[:, 0], moved[:, 1], column] = _OFFSETS[column] + draw.choice(PLACES, len(moved))
         score = w[seen].sum(2)
         forward, backward = np.zeros((length, n, 3)), np.zeros((length, n, 3))
-        forward[0] = start + score[:, 0]
+        forward[0] = np.where(begins[:, None], start, steps[_O]) + score[:, 0]
         for t in range(1, length):
             nxt = _log_sum(forward[t - 1][:, :, None] + steps[None], 1) + score[:, t]
             forward[t] = np.where(inside[:, t, None], nxt, forward[t - 1])
@@ -180,14 +223,17 @@ def fit(windows: np.ndarray, labels: np.ndarray, seed: int = SEED) -> Field:
         total = _log_sum(forward[-1], 1)
         single = np.exp(forward + backward - total[None, :, None]).transpose(1, 0, 2) * inside[..., None]
         g_w = np.zeros_like(w)
+        off = (gold - single) * weight[:, None, None]
         for k in range(3):
-            g_w[:, k] = np.bincount(seen.ravel(), weights=np.repeat((gold - single)[..., k].ravel(), seen.shape[2]), minlength=len(w))
+            g_w[:, k] = np.bincount(seen.ravel(), weights=np.repeat(off[..., k].ravel(), seen.shape[2]), minlength=len(w))
         g_steps = np.zeros((3, 3))
         for t in range(1, length):
             both = forward[t - 1][:, :, None] + steps[None] + (score[:, t] + backward[t])[:, None, :] - total[:, None, None]
             on = inside[:, t, None, None]
-            g_steps += (gold[:, t - 1][:, :, None] * gold[:, t][:, None, :] - np.exp(np.minimum(both, 0)) * on).sum(0)
-        g_start = (gold[:, 0] - single[:, 0]).sum(0)
+            g_steps += ((gold[:, t - 1][:, :, None] * gold[:, t][:, None, :] - np.exp(np.minimum(both, 0)) * on) * weight[:, None, None]).sum(0)
+        g_first = off[:, 0]
+        g_start = g_first[begins].sum(0)
+        g_steps[_O] += g_first[~begins].sum(0)
         for x, g, s in zip((w, steps, start), (g_w / n, g_steps / n, g_start / n), sums):
             g = g - SHRINK * x
             s += g * g
@@ -269,7 +315,7 @@ def _with_hints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Training windows: around every base span and every token that mixes letters and digits, and the first tokens of each text."""
     for batch in batches:
-        kept, tagged = [], []
+        kept, tagged, begins = [], [], []
         for first, end, data, offsets in arrays.slices(batch.column("_text")):
             starts, ends, owner = tokens(data, offsets)
             x = features(data, starts, ends, owner, end - first)
@@ -288,29 +334,33 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         label[i:j] = _I
                         label[i] = _B
             edges = np.searchsorted(owner, np.arange(end - first + 1))
-            marked = np.flatnonzero((label != _O) | ((x[:, 0] // 3 % 16 & 4) > 0)) if x.size else np.zeros(0, int)
+            marked = np.flatnonzero((label != _O) | ((x[:, _MIX] - _OFFSETS[_MIX] & 4) > 0)) if x.size else np.zeros(0, int)
             chosen = set()
             for i in marked:
                 lo, hi = int(edges[owner[i]]), int(edges[owner[i] + 1])
-                chosen.add((max(lo, int(i) - TRAIN_WINDOW // 2), hi))
+                at = max(lo, int(i) - TRAIN_WINDOW // 2)
+                while at > lo and label[at - 1] != _O:
+                    at -= 1
+                chosen.add((at, hi))
             chosen |= {(int(a), int(b)) for a, b in zip(edges[:-1], edges[1:]) if b > a}
             for lo, hi in sorted(chosen):
                 hi = min(hi, lo + TRAIN_WINDOW)
                 kept.append(x[lo:hi].astype(np.int16).tobytes())
                 tagged.append(label[lo:hi].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array(tagged, pa.binary())], names=["_x", "_y"])
+                begins.append(lo == int(edges[owner[lo]]))
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array(tagged, pa.binary()), pa.array(begins, pa.bool_())], names=["_x", "_y", "_begins"])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, most_windows: int = 2_000) -> Field | None:
-    """The field, or None if the sample has no base span. Of the sample's windows all with spans and at most ``most_windows`` others are used."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, most_windows: int = MOST_WINDOWS) -> Field | None:
+    """The field, or None if the sample has no base span; from at most ``most_windows`` windows with spans and as many others, those with the smallest hashes."""
     sample = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(train_docs).distinct()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id", "left_semi")
-    got = rows.select("_text").mapInArrow(_windows, "_x binary, _y binary").distinct()
+    got = rows.select("_text").mapInArrow(_windows, "_x binary, _y binary, _begins boolean").distinct()
     has_span = F.length(F.translate(F.hex("_y"), "2", "")) > F.length("_y")
-    some = got.filter(has_span).orderBy(F.xxhash64("_x", "_y"), "_x", "_y").limit(most_windows).toArrow().to_pydict()
+    some = got.filter(has_span).orderBy(F.xxhash64("_x", "_y"), "_x", "_y", "_begins").limit(most_windows).toArrow().to_pydict()
     if not some["_x"]:
         return None
-    others = got.filter(~has_span).orderBy(F.xxhash64("_x", "_y"), "_x", "_y").limit(most_windows).toArrow().to_pydict()
+    others = got.filter(~has_span).orderBy(F.xxhash64("_x", "_y"), "_x", "_y", "_begins").limit(most_windows).toArrow().to_pydict()
     xs, ys = some["_x"] + others["_x"], some["_y"] + others["_y"]
     windows = np.zeros((len(xs), TRAIN_WINDOW, len(_SIZES)), np.int64)
     labels = np.full((len(xs), TRAIN_WINDOW), -1)
@@ -318,7 +368,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         y = np.frombuffer(b, np.int8)
         windows[i, : y.size] = np.frombuffer(a, np.int16).reshape(y.size, -1)
         labels[i, : y.size] = y
-    return fit(windows, labels)
+    return fit(windows, labels, np.array(some["_begins"] + others["_begins"], bool))
 
 
 def _scanner(field):
