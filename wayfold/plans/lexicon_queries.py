@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wayfold.operators import lexicon
 from wayfold.plans import grammar
 from wayfold.plans.venue_queries import BRANCHES, NAMES
-from wayfold.sources.tables import table
+from wayfold.sources.tables import spread, table
 
 _PLACES = lexicon.entries(lexicon.PLACE_WORDS)
 _PHRASES = [p for _, p, _, _ in _PLACES]
@@ -113,7 +113,7 @@ def request_intents(spark, sf):
     k = F.col("o_orderkey")
     pick = lambda values, n: F.get(F.array(*map(F.lit, values)), F.pmod(F.floor(n), F.lit(len(values))).cast("int"))
     said = F.concat_ws(" ", pick(LEADS, k), pick(PRICES, k / 3), pick(KINDS, k / 2), pick(GUESTS, k / 5), pick(TIMES, k / 7))
-    asked = table(spark, sf, "orders").select("o_orderkey", F.pmod(k, F.lit(24)).cast("int").alias("hour"), said.alias("said"))
+    asked = spread(table(spark, sf, "orders").select("o_orderkey")).select("o_orderkey", F.pmod(k, F.lit(24)).cast("int").alias("hour"), said.alias("said"))
     names = spark.createDataFrame([(n + b,) for n in NAMES for b in BRANCHES], "name string")
     told = grammar.plans(asked, ["o_orderkey", "hour"], "said", names, lexicon.dictionary(spark, _PLACES), F.lit(TODAY).cast("date"), F.col("hour"))
     return told.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import hours, schedule
 from wayfold.operators import event_fold, quad
 from wayfold.sources import linked
-from wayfold.sources.tables import HEIGHT, SOUTH, SQL_CUSTOMERS, WEST, WIDTH, customers, table
+from wayfold.sources.tables import HEIGHT, SOUTH, SQL_CUSTOMERS, WEST, WIDTH, customers, spread, table
 
 
 def event_pages(spark, sf):
@@ -20,7 +20,7 @@ def event_pages(spark, sf):
     items = F.concat(F.lit('{"itemListElement":[{"item":{"@type":"EventSeries","name":"No","startDate":"x"}},{"item":{"@type":"ComedyEvent","name":["Item"],"startDate":"'), day, F.lit('",}}]}'))
     script = lambda x: F.concat(F.lit('<script type="application/ld+json">'), x, F.lit("</script>"))
     html = F.concat(F.lit("<html>"), script(F.lit('{"@type":"Event",')), script(nested), F.when(k % 3 == 0, script(items)).otherwise(""), F.lit("<p>x</p></html>"))
-    return table(spark, sf, "orders").select("o_orderkey", html.alias("html"))
+    return spread(table(spark, sf, "orders").select("o_orderkey", "o_orderdate")).select("o_orderkey", html.alias("html"))
 
 
 def nested_events(spark, sf):
@@ -67,7 +67,7 @@ def venue_pages(spark, sf):
     nested = F.concat(F.repeat(F.lit('{"b":['), m), node, F.repeat(F.lit("]}"), m))
     cafes = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(230)), lambda i: F.concat(F.lit('{"@type":"CafeOrCoffeeShop","name":"Cafe '), i.cast("string"), F.lit('"}'))), ",")
     page = F.concat(F.lit('{"a":'), nested, F.lit(',"c":{"@type":"Product","priceRange":"x","name":"p"}'), F.when(k % 10 == 0, F.concat(F.lit(',"z":['), cafes, F.lit("]"))).otherwise(""), F.lit("}"))
-    return table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit('<script type="application/ld+json"><!--'), page, F.lit("--></script>")).alias("html"))
+    return spread(table(spark, sf, "supplier").select("s_suppkey")).select("s_suppkey", F.concat(F.lit('<script type="application/ld+json"><!--'), page, F.lit("--></script>")).alias("html"))
 
 
 def nested_venues(spark, sf):
@@ -171,7 +171,7 @@ def hour_specs(spark, sf):
             (spoken(opens) if j == 1 else F.concat(clock(opens), F.lit(":00+04:00"))).alias("opens"), clock(ends).alias("closes"), dated.alias("valid_from"), F.when(dated.isNotNull(), "2026-04-01").alias("valid_to"),
         )
 
-    return table(spark, sf, "customer").select("c_custkey", F.array(*map(row, range(4))).alias("rows"))
+    return spread(table(spark, sf, "customer").select("c_custkey")).select("c_custkey", F.array(*map(row, range(4))).alias("rows"))
 
 
 def hours_written(spark, sf):

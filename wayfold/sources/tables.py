@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores if their file has fewer splits; narrow rows before expensive expressions. Large tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def located(rows: DataFrame, key: str) -> DataFrame:
     """Adds lat and lon, spread over the box by the key."""
     spread = lambda factor, low, size: F.lit(low) + F.pmod(F.col(key) * factor, F.lit(10000)) / 10000.0 * F.lit(size)
