@@ -343,7 +343,9 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rank = np.empty(tokens.size, np.int64)
     rank[by_count] = np.arange(tokens.size)
     order = np.argsort(tokens)
-    return tokens[order], rank[order]
+    del found
+    pa.default_memory_pool().release_unused()
+    return tokens[order], rank[order].astype(np.int32)
 
 
 def _enough(overlap: Column, x: str, y: str) -> Column:

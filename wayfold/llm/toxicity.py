@@ -151,15 +151,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     first = lambda part, n: named.filter(part).orderBy(F.xxhash64("_id"), "_id").limit(n)
     sample = first("_toxic > 0", toxic_rows).unionByName(first("_toxic = 0", clean_rows))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_toxic", "_text")
-    got = rows.mapInArrow(_gather, "_toxic int, _words binary").toArrow().to_pydict()
-    words = [np.frombuffer(w, np.int32) for w in got["_words"]]
-    order = sorted(range(len(words)), key=lambda i: (got["_toxic"][i], got["_words"][i]))
-    toxic, words = np.array([got["_toxic"][i] for i in order], int), [words[i] for i in order]
+    got = rows.mapInArrow(_gather, "_toxic int, _words binary").toArrow().combine_chunks()
+    toxic, held = got.column("_toxic").to_numpy().astype(int), got.column("_words").cast(pa.large_binary()).combine_chunks()
+    order = sorted(range(len(held)), key=lambda i: (toxic[i], held[i].as_py()))
+    toxic, words = toxic[order], [np.frombuffer(held[i].as_buffer(), np.int32) for i in order]  # views of the table
     if not 0 < (toxic > 0).sum() < toxic.size:
         return OrdinalModel(np.zeros(1 << BUCKET_BITS), np.array([50.0, 60.0]))
     depends, telling = telling_features(toxic, words)
     model = fit([w[depends[w]] for w in words], toxic if toxic.max() > 1 else split_grades(toxic, words, telling))
     left_out = math.log(kinds[False] / clean_rows * toxic_rows / kinds[True])
+    del got, held, words
+    pa.default_memory_pool().release_unused()
     return OrdinalModel(model.weights, model.thresholds + left_out)
 
 
