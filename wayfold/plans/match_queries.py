@@ -6,9 +6,9 @@ import math
 
 from pyspark.sql import functions as F
 
-from wayfold.operators import matching, regions
+from wayfold.operators import matching, picks, regions
 from wayfold.plans.venue_queries import BRANCHES, NAMES
-from wayfold.sources.tables import SQL_CUSTOMERS, customers, sql_km
+from wayfold.sources.tables import SQL_CUSTOMERS, customers, sql_km, table
 
 _texts = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
 _pick = lambda values, n: F.get(F.array(*map(F.lit, values)), F.pmod(F.floor(n), F.lit(len(values))).cast("int"))
@@ -184,6 +184,37 @@ WITH s(line, y1, x1, y2, x2) AS (VALUES {_ring_segments}), m AS ({_segment_sql.r
 ), inside AS (SELECT c_custkey FROM ({SQL_CUSTOMERS}), s GROUP BY c_custkey HAVING count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1) % 2 = 1)
 SELECT c_custkey, i.c_custkey IS NOT NULL AS inside, e.c_custkey IS NOT NULL AS at_edge FROM customer LEFT JOIN inside i USING (c_custkey) LEFT JOIN edge e USING (c_custkey) WHERE inside OR at_edge"""
 
-WITH_SQL = "site_matches rule_places address_verdicts hotel_doubles coast_places home_places".split()
+TOPICS = ("sushi", "food", "museum", "park", "beach")
+
+
+def page_pictures(spark, sf):
+    """A picture for each order on its customer's page, of up to three topics with one to five pictures each; the first topics have none."""
+    k = F.col("o_orderkey")
+    topics = F.slice(F.array(_pick(("none", *TOPICS), k), _pick(TOPICS, k / 3), _pick(TOPICS, k / 5)), F.lit(1), F.pmod(k, F.lit(4)).cast("int"))
+    cards = table(spark, sf, "orders").select(F.col("o_custkey").alias("page"), k.alias("position"), k.cast("string").alias("card"), topics.alias("keys"))
+    pool = spark.createDataFrame([(t, i, f"{t}-{i}") for n, t in enumerate(TOPICS) for i in range(n + 1)] + [("food", 9, "sushi-0")], "key string, number int, url string")
+    return picks.page_picks(cards, pool)
+
+
+_POOL = ", ".join(f"('{t}', {i}, '{t}-{i}')" for n, t in enumerate(TOPICS) for i in range(n + 1)) + ", ('food', 9, 'sushi-0')"
+PAGE_PICTURES = f"""
+WITH RECURSIVE pool AS (SELECT key, list(url ORDER BY number) AS urls FROM (VALUES {_POOL}) v(key, number, url) GROUP BY key
+), cards AS (
+  SELECT o_custkey AS page, o_orderkey AS position, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n,
+         list_slice([{_texts(("none", *TOPICS))}[o_orderkey % {len(TOPICS) + 1} + 1], {_texts(TOPICS)}[o_orderkey // 3 % {len(TOPICS)} + 1], {_texts(TOPICS)}[o_orderkey // 5 % {len(TOPICS)} + 1]], 1, o_orderkey % 4) AS keys,
+         list_reduce(list_prepend(0::BIGINT, list_transform(string_split(o_orderkey::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM orders
+), offers AS (
+  SELECT page, position, n, list({{'key': key, 'url': url}} ORDER BY rank, i) AS offers
+  FROM (SELECT c.page, c.position, c.n, rank, c.keys[rank] AS key, i, urls[(h + i) % len(urls) + 1] AS url FROM cards c, range(1, 4) a(rank), pool, range(0, 6) b(i) WHERE rank <= len(c.keys) AND pool.key = c.keys[rank] AND i < len(urls)) GROUP BY page, position, n
+), ready AS (SELECT c.page, c.position, c.n, coalesce(o.offers, []) AS offers FROM cards c LEFT JOIN offers o USING (page, position, n)
+), fold AS (
+  SELECT page, 0::BIGINT AS n, NULL::BIGINT AS position, []::VARCHAR[] AS used, NULL::STRUCT(key VARCHAR, url VARCHAR) AS pick FROM (SELECT DISTINCT page FROM cards)
+  UNION ALL
+  SELECT page, n, position, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.url) END, pick
+  FROM (SELECT r.page, r.n, r.position, f.used, coalesce(list_filter(r.offers, lambda o: NOT list_contains(f.used, o.url))[1], r.offers[1]) AS pick FROM fold f JOIN ready r ON r.page = f.page AND r.n = f.n + 1)
+)
+SELECT page, position, pick.key AS key, pick.url AS url FROM fold WHERE n > 0"""
+
+WITH_SQL = "site_matches rule_places address_verdicts hotel_doubles coast_places home_places page_pictures".split()
 QUERIES = {n: globals()[n] for n in WITH_SQL}
 ORACLE_SQL = {n: globals()[n.upper()] for n in WITH_SQL}
