@@ -90,9 +90,9 @@ def rule_matches(places: DataFrame, key: str, texts: Column, rules: DataFrame) -
     where it can match. Patterns without a required trigram, at most ``MOST_OPEN``, are tried on every place.
     """
     spark = places.sparkSession
-    listed = rules.select("rule", "pattern").collect()  # a table of rules is written by hand
+    listed = rules.select("rule", "pattern", "lat", "lon", "km", "category").collect()  # a table of rules is written by hand
     grams = [(r.rule, g) for r in listed for g in required_grams(r.pattern) or ()]
-    open_ = [r.rule for r in listed if required_grams(r.pattern) is None]
+    open_ = [r for r in listed if required_grams(r.pattern) is None]
     if len(open_) > MOST_OPEN:
         raise ValueError(f"{len(open_)} patterns need no three letters in a row; at most {MOST_OPEN} can be tried on every place")
     index = rules.join(F.broadcast(spark.createDataFrame(grams, "rule string, gram string")), "rule") if grams else rules.withColumn("gram", F.lit("")).limit(0)
@@ -100,8 +100,10 @@ def rule_matches(places: DataFrame, key: str, texts: Column, rules: DataFrame) -
     said = places.select(F.col(key).alias("_key"), "lat", "lon", "category", texts.alias("_texts"))
     fields = ["rule", "pattern", *(F.col(c).alias(f"r_{c}") for c in ("lat", "lon", "km", "category"))]
     candidates = said.withColumn("gram", F.explode(F.array_distinct(pieces))).join(broadcast_if_small(index.select("gram", *fields)), "gram").drop("gram")
-    for rule in open_:
-        candidates = candidates.unionByName(said.withColumn("_r", F.lit(rule)).join(F.broadcast(rules.filter(F.col("rule") == rule).select(*fields)), F.col("_r") == F.col("rule")).drop("_r"))
+    kinds = dict(rules.dtypes)
+    for r in open_:
+        known = {"rule": r.rule, "pattern": r.pattern, "r_lat": r.lat, "r_lon": r.lon, "r_km": r.km, "r_category": r.category}
+        candidates = candidates.unionByName(said.withColumns({c: F.lit(v).cast(kinds[c.removeprefix("r_")]) for c, v in known.items()}))
     inside = F.col("r_km").isNull() | (geo.haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")) <= F.col("r_km"))
     held = candidates.filter(F.exists("_texts", lambda t: F.rlike(t, F.col("pattern")))).filter(inside).filter("r_category is null or r_category = category")
     return held.select(F.col("_key").alias(key), "rule").distinct()
