@@ -287,19 +287,15 @@ def _sets(naming: _Naming):
 _MAPS = pa.schema([("_node", pa.int64()), *((f"_m{k}", pa.int64()) for k in range(MAP_WORDS))])
 
 
-def _maps(naming: _Naming):
-    """Parity maps of all texts' tokens, by their high bits."""
-
-    def maps_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, maps = [], np.zeros((batch.num_rows, MAP_WORDS), np.uint64)
-            for row, tokens in enumerate(shingle_sets(batch.column("_text"))):
-                nodes.append(naming(tokens))
-                odd = np.bincount((tokens >> _U(32)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) % 2 == 1
-                maps[row] = np.packbits(odd).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *(pa.array(x.view(np.int64)) for x in maps.T.copy())], schema=_MAPS)
-
-    return maps_of
+def _maps(batches: Iterator[pa.RecordBatch], naming: _Naming = _Naming(frozenset())) -> Iterator[pa.RecordBatch]:
+    """Parity map of every text's tokens, by their high bits."""
+    for batch in batches:
+        nodes, maps = [], np.zeros((batch.num_rows, MAP_WORDS), np.uint64)
+        for row, tokens in enumerate(shingle_sets(batch.column("_text"))):
+            nodes.append(naming(tokens))
+            odd = np.bincount((tokens >> _U(32)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) % 2 == 1
+            maps[row] = np.packbits(odd).view(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *(pa.array(x.view(np.int64)) for x in maps.T.copy())], schema=_MAPS)
 
 
 _LINKS = pa.schema([("_a", pa.int64()), ("_b", pa.int64())])
@@ -409,7 +405,7 @@ def _all_pairs(open_rows: DataFrame, rows: int, docs: DataFrame, texts_of: DataF
 
     of_pairs = merged.filter("_r >= 0").drop("_c")
     # Written before it is joined with few rows in few partitions, so that texts are read in as many as they have.
-    maps = store(_texts(docs, of_pairs.select("_node").distinct(), texts_of).mapInArrow(_maps(naming), ", ".join(f"{f.name} long" for f in _MAPS)))
+    maps = store(_texts(docs, of_pairs.select("_node").distinct(), texts_of).mapInArrow(lambda batches: _maps(batches, naming), ", ".join(f"{f.name} long" for f in _MAPS)))
     differ = sum((F.bit_count(F.col(f"_m{k}a").bitwiseXOR(F.col(f"_m{k}b"))) for k in range(MAP_WORDS)), F.lit(0))
     double = _meetings(store(tight(of_pairs.join(maps, "_node"), rows))).filter((OF + LEAST) * differ <= (OF - LEAST) * (F.col("_na") + F.col("_nb")))
     met = [tight(x, rows).select(F.col("_nodea").alias("_a"), F.col("_nodeb").alias("_b")) for x in (single, double)]
