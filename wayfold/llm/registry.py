@@ -85,7 +85,7 @@ CONTROL_CHAT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     added = spark.createDataFrame(CONTROL_CHAT, "conv_id long, turn long, role string, text string")
-    return chat_format.digest_chats(chat_format.format_chats(turns.unionByName(added)))
+    return chat_format.digest_chats(chat_format.format_chats(turns.unionByName(added), turn_local=True))
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
