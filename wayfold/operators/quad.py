@@ -19,16 +19,42 @@ from wayfold.operators.lineage import broadcast_if_small, cut
 Box = tuple[float, float, float, float]
 
 
+_EDGES = ("south", "west", "north", "east")
+
+
+def _quarter(a: Column, north: Column, east: Column) -> list[Column]:
+    """Edges of the quarter of a box (a struct of edges) on its northern and eastern side or not; a box is cut in the middle of its edges."""
+    y, x = (a["south"] + a["north"]) / 2, (a["west"] + a["east"]) / 2
+    return [
+        F.when(north, y).otherwise(a["south"]).alias("south"), F.when(east, x).otherwise(a["west"]).alias("west"),
+        F.when(north, a["north"]).otherwise(y).alias("north"), F.when(east, a["east"]).otherwise(x).alias("east"),
+    ]
+
+
+def _whole(box: Box) -> list[Column]:
+    return [F.lit(float(at)).alias(name) for name, at in zip(_EDGES, box)]
+
+
 def cell_name(lat: Column, lon: Column, box: Box, depth: int) -> Column:
-    """Name of the point's cell at a depth; null outside of the box (south, west, north, east)."""
+    """Name of the point's cell at a depth; null outside of the box (south, west, north, east).
+
+    Every cut compares with the middle of the edges so far, as the cells' edges are told: an edge by another formula may be a last digit off.
+    """
     south, west, north, east = box
-    step = lambda x, low, high: F.least(F.floor((x - low) / ((high - low) / 2**depth)), F.lit(2**depth - 1)).cast("long")
-    y, x = step(lat, south, north), step(lon, west, east)
-    quarter = lambda k: (F.pmod(F.shiftright(y, depth - k), F.lit(2)) * 2 + F.pmod(F.shiftright(x, depth - k), F.lit(2))).cast("string")
-    name = F.concat(F.lit(""), *(quarter(k) for k in range(1, depth + 1)))
+
+    def cut_once(a: Column, _: Column) -> Column:
+        up, right = lat >= (a["south"] + a["north"]) / 2, lon >= (a["west"] + a["east"]) / 2
+        return F.struct(*_quarter(a, up, right), F.concat(a["name"], (up.cast("int") * 2 + right.cast("int")).cast("string")).alias("name"))
+
+    name = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.struct(*_whole(box), F.lit("").alias("name")), cut_once, lambda a: a["name"]) if depth else F.lit("")
     return F.when(lat.between(south, north) & lon.between(west, east), name)
 
 
+def _edges(cell: Column, box: Box) -> Column:
+    """A cell's edges: the box, cut as its name says."""
+    return F.aggregate(F.filter(F.split(cell, ""), lambda q: q != ""), F.struct(*_whole(box)), lambda a, q: F.struct(*_quarter(a, q.isin("2", "3"), q.isin("1", "3"))))
+
+
 def quad_cells(points: DataFrame, box: Box, cap: int, depth: int, by: tuple[str, ...] = ()) -> DataFrame:
     """The kept cells of each group ``by``: cell, level, points, full, south, west, north, east. ``points`` have lat and lon."""
     deepest = points.withColumn("cell", cell_name(F.col("lat"), F.col("lon"), box, depth)).filter("cell is not null").groupBy(*by, "cell").agg(F.count("*").alias("n"))
@@ -41,15 +67,8 @@ def quad_cells(points: DataFrame, box: Box, cap: int, depth: int, by: tuple[str,
     names = [*by, "level", "cell"]
     open_ = quarters.unionByName(whole).join(counts, names, "left").select(*names, F.coalesce("points", F.lit(0)).alias("points"))
     kept = open_.join(cut_cells.select(*names), names, "left_anti")
-    south, west, north, east = box
-    offset = lambda weight: F.aggregate(F.sequence(F.lit(1), F.greatest("level", F.lit(1))), F.lit(0).cast("long"), lambda a, i: a * 2 + F.when(F.expr("level = 0"), 0).otherwise(weight(F.substring("cell", i, F.lit(1)).cast("int"))))
-    y, x = offset(lambda q: F.floor(q / 2)), offset(lambda q: q % 2)
-    size = F.pow(F.lit(2.0), F.col("level"))
-    edge = lambda low, high, at: F.round(low + (high - low) / size * at, 9)
-    return kept.select(
-        *by, "cell", "level", "points", (F.col("points") >= cap).alias("full"),
-        edge(south, north, y).alias("south"), edge(west, east, x).alias("west"), edge(south, north, y + 1).alias("north"), edge(west, east, x + 1).alias("east"),
-    )
+    told = kept.withColumn("_edges", _edges(F.col("cell"), box))
+    return told.select(*by, "cell", "level", "points", (F.col("points") >= cap).alias("full"), *(F.round(f"_edges.{e}", 9).alias(e) for e in _EDGES))
 
 
 def in_cells(points: DataFrame, cells: DataFrame, box: Box, depth: int, by: tuple[str, ...] = ()) -> DataFrame:
