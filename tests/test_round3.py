@@ -32,3 +32,12 @@ def test_cells_have_the_edges_that_are_told(spark):
     assert rows.select(quad.cell_name(rows.lat, rows.lon, box, 0).alias("c")).first().c == ""
 
 
+def test_sessions_count_rounded_seconds(spark, tmp_path):
+    draw, start, rows = random.Random(3), datetime.datetime(2024, 1, 1), []
+    for user in range(60):
+        at = draw.random()
+        for k in range(12):
+            at += draw.choice([7200, 7199, 7201]) + draw.choice([-0.7, -0.5, -0.2, 0.0, 0.2, 0.5, 0.7])
+            rows.append((user * 100 + k, start + datetime.timedelta(seconds=round(at, 1)), user))
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    same_as_sql(spark, "user_sessions", tmp_path, "events")

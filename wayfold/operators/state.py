@@ -44,9 +44,9 @@ def breaker(calls: DataFrame, key: str, ts: str, order: str, failed: Column, fai
 
 
 def sessions(events: DataFrame, key: str, ts: str, order: str, gap_seconds: int) -> DataFrame:
-    """Runs of a key's events with gaps of at most ``gap_seconds``."""
+    """Runs of a key's events with gaps of at most ``gap_seconds``, between times rounded to seconds, halves to the even one."""
     w = Window.partitionBy(key).orderBy(ts, order)
-    t = F.unix_seconds(F.col(ts).cast("timestamp"))
+    t = F.rint(F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).cast("long")
     new = F.when(t - F.lag(t).over(w) <= gap_seconds, 0).otherwise(1)
     numbered = events.withColumn("_new", new).withColumn("session", F.sum("_new").over(w))
     return numbered.groupBy(key, "session").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("events"))
