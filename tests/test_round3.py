@@ -6,7 +6,7 @@ import random
 import duckdb
 
 from wayfold import catalog
-from wayfold.operators import quad
+from wayfold.operators import quad, resolve
 
 SF = "/root/testdata/sf0.1"
 
@@ -41,3 +41,20 @@ def test_sessions_count_rounded_seconds(spark, tmp_path):
             rows.append((user * 100 + k, start + datetime.timedelta(seconds=round(at, 1)), user))
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").write.parquet(f"{tmp_path}/events.parquet")
     same_as_sql(spark, "user_sessions", tmp_path, "events")
+
+
+def customers_at(spark, folder, keys):
+    """Customers of one nation; keys that are equal modulo 10,000 stand at one point."""
+    rows = [(k, f"c{k}", 1, 0.0, "BUILDING") for k in keys]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{folder}/customer.parquet")
+
+
+def test_copies_of_a_place_make_no_pairs(spark, tmp_path, monkeypatch):
+    customers_at(spark, tmp_path, [p + 10000 * i for p in (3, 4, 5, 6) for i in range(200)])
+    made, suppress, components = [], resolve.suppress_later, resolve.components
+    monkeypatch.setattr(resolve, "suppress_later", lambda rows, pairs, key: made.append(pairs.count()) or suppress(rows, pairs, key))
+    monkeypatch.setattr(resolve, "components", lambda nodes, edges: made.append(edges.count()) or components(nodes, edges))
+    kept = {r.c_custkey for r in catalog.QUERIES["suppressed"](spark, str(tmp_path)).collect()}
+    assert kept and kept <= {3, 4, 5, 6}
+    same_as_sql(spark, "place_components", tmp_path, "customer")
+    assert len(made) == 2 and max(made) <= 6

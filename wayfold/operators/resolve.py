@@ -22,6 +22,30 @@ def pairs_within(left: DataFrame, right: DataFrame, km: float, per_degree: int,
     return a.join(b, ["cy", "cx", *(f"_on_{c}" for c in on)]).select("l", "r", apart.alias("km")).filter(F.col("km") <= km)
 
 
+def _own(key: str, same: tuple[str, ...]) -> Column:
+    """The key where one of the columns is null, else null: such rows equal no other."""
+    return F.when(F.greatest(*(F.col(c).isNull() for c in same)) if len(same) > 1 else F.col(same[0]).isNull(), F.col(key))
+
+
+def representatives(rows: DataFrame, key: str, same: tuple[str, ...], *order: Column) -> DataFrame:
+    """Rows of the columns ``same`` and key: of rows that are equal in ``same`` the first by ``order``, then key.
+
+    Copies of a place meet the same others, so that pairs need only be made of their representatives. A row in which one of the columns is null
+    stands for itself.
+    """
+    first = F.min_by(key, F.struct(*order, key)) if order else F.min(key)
+    return rows.groupBy(*same, _own(key, same).alias("_own")).agg(first.alias("_key")).select(*same, F.col("_key").alias(key))
+
+
+def with_representatives(rows: DataFrame, key: str, same: tuple[str, ...], first: DataFrame) -> DataFrame:
+    """(key, rep): every row with its representative of ``first``, the result of ``representatives``."""
+    a = rows.select(F.col(key), *(F.col(c).alias(f"_a_{c}") for c in same), _own(key, same).alias("_a_own"))
+    b = first.select(F.col(key).alias("rep"), *(F.col(c).alias(f"_b_{c}") for c in same), _own(key, same).alias("_b_own"))
+    whole, alone = a.filter("_a_own is null"), a.filter("_a_own is not null")
+    equal = [F.col(f"_a_{c}") == F.col(f"_b_{c}") for c in same]
+    return whole.join(b.filter("_b_own is null"), equal).select(key, "rep").unionByName(alone.select(key, F.col(key).alias("rep")))
+
+
 def first_match(pairs: DataFrame, key: Column, order: Column) -> DataFrame:
     """For each left row the first matching right row in scan order."""
     return pairs.withColumn("_k", key).withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy(order))).filter("_n = 1").drop("_k", "_n")
@@ -45,15 +69,16 @@ def suppress_later(rows: DataFrame, conflicts: DataFrame, key: str) -> DataFrame
     ``conflicts``: (early, late) pairs of keys with early < late. The greedy result is unique and is reached in
     parallel rounds: rows without an undecided or kept earlier conflict are kept, their later conflicts dropped.
     """
+    # Keys of undecided rows may be many: they are shuffled, not broadcast through the driver.
     left = cut(conflicts.distinct())
     dropped = None
     while True:
-        kept = left.select("early").distinct().join(left.select(F.col("late").alias("early")).distinct(), "early", "left_anti")
-        lost = cut(left.join(kept, "early", "left_semi").select("late").distinct())
+        kept = left.select("early").distinct().join(left.select(F.col("late").alias("early")).distinct().hint("merge"), "early", "left_anti")
+        lost = cut(left.join(kept.hint("merge"), "early", "left_semi").select("late").distinct())
         dropped = lost if dropped is None else dropped.unionByName(lost)
-        left = cut(left.join(lost, "late", "left_anti").join(lost.select(F.col("late").alias("early")), "early", "left_anti").select("early", "late"))
+        left = cut(left.join(lost.hint("merge"), "late", "left_anti").join(lost.select(F.col("late").alias("early")).hint("merge"), "early", "left_anti").select("early", "late"))
         if left.isEmpty():
-            return rows.join(dropped.distinct(), rows[key] == F.col("late"), "left_anti")
+            return rows.join(dropped.distinct().hint("merge"), rows[key] == F.col("late"), "left_anti")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -61,10 +86,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(nodes.select("node", F.col("node").alias("label")))
     while True:
-        around = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("low"))
-        hooked = labels.join(around, labels["node"] == around["a"], "left").select("node", "label", F.least("label", F.coalesce("low", "label")).alias("next"))
+        # Labels are as many as nodes: they are shuffled, not broadcast through the driver.
+        around = both.join(labels.hint("merge"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("low"))
+        hooked = labels.join(around.hint("merge"), labels["node"] == around["a"], "left").select("node", "label", F.least("label", F.coalesce("low", "label")).alias("next"))
         up = hooked.select(F.col("node").alias("next"), F.col("next").alias("jump"))
-        moved = cut(hooked.join(up, "next").select("node", "label", F.least("next", "jump").alias("next")))
+        moved = cut(hooked.join(up.hint("merge"), "next").select("node", "label", F.least("next", "jump").alias("next")))
         changed = moved.filter("next <> label").limit(1).count()
         labels = moved.select("node", F.col("next").alias("label"))
         if not changed:
