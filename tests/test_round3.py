@@ -6,7 +6,8 @@ import random
 import duckdb
 
 from wayfold import catalog
-from wayfold.operators import quad, resolve
+from wayfold.operators import matching, quad, resolve
+from wayfold.plans import evening, grammar, page_queries
 
 SF = "/root/testdata/sf0.1"
 
@@ -93,3 +94,20 @@ def test_copies_of_an_event_are_compared_once(spark, tmp_path, monkeypatch):
     sizes = paired_rows(monkeypatch)
     same_as_sql(spark, "event_matches", tmp_path, "orders")
     assert len(sizes) == 1 and sizes[0][1] <= 4 * 5 * 3
+
+
+def sizes_of(monkeypatch, module, name, of=lambda *args: args[0]):
+    """Numbers of rows that a function of a module gets."""
+    sizes, plain = [], getattr(module, name)
+    monkeypatch.setattr(module, name, lambda *args: sizes.append(of(*args).count()) or plain(*args))
+    return sizes
+
+
+def test_evening_plans_search_few_copies(spark, monkeypatch):
+    spots = [(25.0 + p / 1000, 55.0 + p / 500) for p in range(4)]
+    places = spark.createDataFrame([(k, "food", *spots[k % 4]) for k in range(400)], "place long, category string, lat double, lon double")
+    requests = spark.createDataFrame([(r, 25.0, 55.0, 600, ["food"] * 5) for r in range(3)], "request long, lat double, lon double, start int, categories array<string>")
+    sizes = sizes_of(monkeypatch, evening, "_nearest", lambda asked, places, _: places)
+    got = {(r.request, r.stop): r.place for r in evening.plan_stops(requests, places, 5).collect()}
+    assert got == {(r, s + 1): 4 * s for r in range(3) for s in range(5)}
+    assert max(sizes) <= 4 * 5

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
@@ -10,6 +10,8 @@ from wayfold.operators.lineage import cut
 
 #: Cells grow by this factor until one holds the whole range of degrees.
 COARSER = 4
+#: Points that a cell holds about at first, and the square of the most cells of a degree.
+POINTS_OF_A_CELL, MOST_CELLS = 4, 2000**2
 
 
 def _km_to_edge(lat: Column, lon: Column, per_degree: float) -> Column:
@@ -47,6 +49,13 @@ def _nearest(asked: DataFrame, places: DataFrame, per_degree: float) -> DataFram
         per_degree /= COARSER
 
 
+def _cells_for(places: DataFrame) -> int:
+    """Cells of a degree by which the category with most points has about ``POINTS_OF_A_CELL`` in each, if they are spread evenly over their box."""
+    box = places.groupBy("category").agg(F.countDistinct("lat", "lon").alias("n"), ((F.max("lat") - F.min("lat")) * (F.max("lon") - F.min("lon"))).alias("area"))
+    most = box.agg(F.max(F.when(F.col("area") > 0, F.col("n") / F.col("area"))).alias("x")).first().x
+    return int(min(MOST_CELLS, (most or 0.0) / POINTS_OF_A_CELL) ** 0.5)
+
+
 def plan_stops(requests: DataFrame, places: DataFrame, stops: int, per_degree: int = 10, minutes_at_stop: int = 75) -> DataFrame:
     """(request, stop, place, km, arrive): for each request the nearest unused place of each stop's category, one stop after the other.
 
@@ -54,7 +63,11 @@ def plan_stops(requests: DataFrame, places: DataFrame, stops: int, per_degree: i
     advance together, by joins on category and grid cell; only a stop whose category has no unused place anywhere is left out.
     """
     now = requests.select("request", "categories", F.col("lat").alias("at_lat"), F.col("lon").alias("at_lon"), F.col("start").cast("double").alias("clock"), F.array().cast("array<bigint>").alias("used"))
-    places = places.select("place", "category", "lat", "lon")
+    # Of places of a category at one point a stop can only take one of the first ``stops``: no more can be used before it.
+    copies = Window.partitionBy("category", "lat", "lon").orderBy("place")
+    places = places.select("place", "category", "lat", "lon").filter("lat is not null and lon is not null")
+    places = cut(places.withColumn("_n", F.row_number().over(copies)).filter(F.col("_n") <= stops).drop("_n"))
+    per_degree = max(per_degree, _cells_for(places))
     answers = None
     for k in range(stops):
         asked = now.withColumn("category", F.get("categories", F.lit(k))).filter("category is not null").join(places.select("category").distinct(), "category", "left_semi")
