@@ -125,3 +125,10 @@ def test_copies_of_hotels_are_compared_once(spark, tmp_path, monkeypatch):
     sizes = sizes_of(monkeypatch, matching, "cut")
     same_as_sql(spark, "hotel_doubles", tmp_path, "customer")
     assert min(sizes) <= 8
+
+
+def test_requests_of_a_text_and_hour_are_read_once(spark, tmp_path, monkeypatch):
+    orders_at(spark, tmp_path, [p + 2520 * i for p in (1, 2, 33) for i in range(100)])
+    sizes = sizes_of(monkeypatch, grammar, "marks")
+    same_as_sql(spark, "request_intents", tmp_path, "orders")
+    assert len(sizes) == 1 and sizes[0] <= 30

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfold.operators import lexicon
+from wayfold.operators.lineage import broadcast_if_small, cut
 from wayfold.plans import grammar
 from wayfold.plans.venue_queries import BRANCHES, NAMES
 from wayfold.sources.tables import spread, table
@@ -115,8 +116,10 @@ def request_intents(spark, sf):
     said = F.concat_ws(" ", pick(LEADS, k), pick(PRICES, k / 3), pick(KINDS, k / 2), pick(GUESTS, k / 5), pick(TIMES, k / 7))
     asked = spread(table(spark, sf, "orders").select("o_orderkey")).select("o_orderkey", F.pmod(k, F.lit(24)).cast("int").alias("hour"), said.alias("said"))
     names = spark.createDataFrame([(n + b,) for n in NAMES for b in BRANCHES], "name string")
-    told = grammar.plans(asked, ["o_orderkey", "hour"], "said", names, lexicon.dictionary(spark, _PLACES), F.lit(TODAY).cast("date"), F.col("hour"))
-    return told.select(
+    # A text at an hour has one plan, whoever asks: each is read once and joined back.
+    distinct = spread(cut(asked.select("said", "hour").distinct()))
+    told = cut(grammar.plans(distinct, ["said", "hour"], "said", names, lexicon.dictionary(spark, _PLACES), F.lit(TODAY).cast("date"), F.col("hour")))
+    return asked.join(broadcast_if_small(told), ["said", "hour"]).select(
         "o_orderkey", "action", F.lower("place").alias("place"), F.array_join("categories", ",").alias("categories"), F.array_join("conditions", ",").alias("conditions"),
         "day_from", "day_to", "minutes", "strict", "price_min", "price_max", "party", "kids",
     )
