@@ -132,3 +132,10 @@ def test_requests_of_a_text_and_hour_are_read_once(spark, tmp_path, monkeypatch)
     sizes = sizes_of(monkeypatch, grammar, "marks")
     same_as_sql(spark, "request_intents", tmp_path, "orders")
     assert len(sizes) == 1 and sizes[0] <= 30
+
+
+def test_equal_specifications_are_written_once(spark, tmp_path, monkeypatch):
+    customers_at(spark, tmp_path, range(400))
+    sizes = sizes_of(monkeypatch, page_queries, "spread")
+    same_as_sql(spark, "hours_written", tmp_path, "customer")
+    assert min(sizes) <= 80

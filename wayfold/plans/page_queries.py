@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import hours, schedule
 from wayfold.operators import event_fold, quad
+from wayfold.operators.lineage import broadcast_if_small, cut
 from wayfold.sources import linked
 from wayfold.sources.tables import HEIGHT, SOUTH, SQL_CUSTOMERS, WEST, WIDTH, customers, spread, table
 
@@ -176,11 +177,14 @@ def hour_specs(spark, sf):
 
 def hours_written(spark, sf):
     """The customers' specifications as opening-hours text, whether it is valid, and its minutes a week as read back."""
-    told = hour_specs(spark, sf).select("c_custkey", schedule.write_week(schedule.spec_week(F.col("rows"))).alias("hours"))
+    # Specifications are written the same by many: each is turned into text once and joined back, told apart by its JSON.
+    specs = hour_specs(spark, sf).withColumn("spec", F.to_json("rows"))
+    told = cut(spread(specs.select("spec", "rows").dropDuplicates(["spec"])).select("spec", schedule.write_week(schedule.spec_week(F.col("rows"))).alias("hours")))
     read = told.select("hours").distinct().withColumn("week", hours.week_of(F.col("hours")))
     open_ = F.aggregate(F.flatten("week"), F.lit(0), lambda a, s: a + s["end"] - s["start"])
     minutes = read.select("hours", F.when(F.col("week").isNotNull(), open_).alias("minutes"))
-    return told.join(minutes.filter("hours is not null"), "hours", "left").select("c_custkey", "hours", schedule.valid_hours(F.col("hours")).alias("valid"), "minutes")
+    full = told.join(minutes.filter("hours is not null"), "hours", "left").select("spec", "hours", schedule.valid_hours(F.col("hours")).alias("valid"), "minutes")
+    return specs.select("c_custkey", "spec").join(broadcast_if_small(cut(full)), "spec").select("c_custkey", "hours", "valid", "minutes")
 
 
 HOURS_WRITTEN = """

@@ -13,10 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a task of an expensive expression gets at most.
+ROWS_OF_A_TASK = 20_000
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` over all cores if their file has fewer splits; narrow rows before expensive expressions. Large tables stay as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """``rows`` over all cores, and over so many tasks that none has much more than ``ROWS_OF_A_TASK``; narrow rows before expensive expressions."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_OF_A_TASK))
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
 
 
 def located(rows: DataFrame, key: str) -> DataFrame:
