@@ -6,7 +6,7 @@ import random
 import duckdb
 
 from wayfold import catalog
-from wayfold.operators import matching, quad, resolve
+from wayfold.operators import event_fold, matching, quad, resolve
 from wayfold.plans import evening, grammar, page_queries
 
 SF = "/root/testdata/sf0.1"
@@ -139,3 +139,31 @@ def test_equal_specifications_are_written_once(spark, tmp_path, monkeypatch):
     sizes = sizes_of(monkeypatch, page_queries, "spread")
     same_as_sql(spark, "hours_written", tmp_path, "customer")
     assert min(sizes) <= 80
+
+
+def plain_fold(rows):
+    """Each row joined to the first listed event that is the same, by trying all of them."""
+    events = []
+    for row in rows:
+        at = None if None in (row["day_start"], row["day_end"]) else next((i for i, e in enumerate(events) if None not in (e["day_start"], e["day_end"]) and event_fold._same(e, row)), None)
+        if at is None:
+            events.append(row)
+        else:
+            events[at] = event_fold._merged(events[at], row)
+    return [e | {"also": list(e["also"])} for e in events]
+
+
+def test_fold_tries_few_listed_events(monkeypatch):
+    draw, rows, day = random.Random(5), [], datetime.date(2026, 1, 1)
+    for k in range(1500):
+        first = draw.randint(0, 1500)
+        words = frozenset(draw.sample([f"w{n}" for n in range(300)], draw.randint(0, 3)) + ["all"] * (k % 5 == 0))
+        days = (None, None) if k % 50 == 0 else (day + datetime.timedelta(first), day + datetime.timedelta(first + draw.choice([0, 5, 90, -3])))
+        rows.append({
+            "key": k, "name": " ".join(sorted(words)) or None, "venue": "hall", "_venue": "hall", "lat": None, "lon": None, "day_start": days[0], "day_end": days[1], "days": [days[0]] if draw.random() < 0.3 and days[0] else [], "tags": [], "price": None,
+            "time": None, "source": draw.choice(["venue", "tickets", "guide"]), "url": draw.choice([None, f"u{k % 40}", f"u{k}"]), "_words": words, "_normal": " ".join(sorted(words)), "also": [], "members": 1,
+        })
+    expected, tried, same = plain_fold([dict(r) for r in rows]), [0], event_fold._same
+    monkeypatch.setattr(event_fold, "_same", lambda a, b: tried.__setitem__(0, tried[0] + 1) or same(a, b))
+    assert event_fold.fold([dict(r) for r in rows]) == expected and len(expected) < len(rows)
+    assert tried[0] < 20 * len(rows)

@@ -30,6 +30,8 @@ from wayfold.operators.lineage import cut
 
 NEAR_KM, CELLS_PER_DEGREE = 0.4, 200
 SHORTER_SHARE, LONGER_SHARE = 0.75, 0.5
+#: Days of a stretch by which listed events are found.
+STRETCH, _NONE = 32, frozenset()
 # Words of titles that tell nothing about the event, tags in the order of display, and trust in sources.
 STOP_WORDS = "a an and at by comedy concert dubai feat festival ft in live night of on present presents s show the ticket tickets tour uae vs with x 2026 2027".split()
 TAGS = ("concert", "theatre", "comedy", "exhibition", "festival", "club", "kids", "sport")
@@ -52,28 +54,33 @@ def venue_key(venue: Column) -> Column:
     return F.array_join(F.slice(title_words(F.substring_index(venue, ",", 1)), 1, 3), " ")
 
 
-def _labelled(rows: DataFrame, nodes: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """``rows`` with _part, the component of their _block that ``nodes`` (key, _block, node) and edges ``more`` (a, b) connect them in."""
-    name = lambda kind, value: F.concat_ws("|", F.lit(kind), F.col("_block"), value)
-    edges = nodes.select(name("r", F.col("key").cast("string")).alias("a"), name("n", F.col("node")).alias("b"))
-    edges = cut(edges if more is None else edges.unionByName(more.select(name("n", F.col("a")).alias("a"), name("n", F.col("b")).alias("b"))))
+def _labelled(rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """``rows`` with _part, the component of their _block that their _nodes (names, none null) and edges ``more`` (_block, a, b) connect them in; without nodes, their own.
+
+    Rows with the same nodes are one path of edges, so that components are of names, not of rows.
+    """
+    name = lambda node: F.concat_ws("|", F.col("_block"), node)
+    paths = rows.filter("size(_nodes) > 0").select("_block", "_nodes").distinct()
+    steps = F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_nodes") - 2, F.lit(0))), lambda i: F.struct(F.get("_nodes", i).alias("a"), F.coalesce(F.get("_nodes", i + 1), F.get("_nodes", i)).alias("b"))))
+    edges = paths.select("_block", steps.alias("s")).select("_block", "s.a", "s.b")
+    edges = cut((edges if more is None else edges.unionByName(more)).select(name(F.col("a")).alias("a"), name(F.col("b")).alias("b")).distinct())
     every = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    parts = resolve.components(every, edges).filter("node like 'r|%'")
-    own = name("r", F.col("key").cast("string"))
-    return rows.withColumn("_row", own).join(parts.select(F.col("node").alias("_row"), F.col("label").alias("_part")), "_row", "left").withColumn("_part", F.coalesce("_part", "_row")).drop("_row")
+    parts = resolve.components(every, edges.filter("a <> b")).select(F.col("node").alias("_first"), F.concat(F.lit("n|"), "label").alias("_part"))
+    first = F.when(F.size("_nodes") > 0, name(F.get("_nodes", F.lit(0))))
+    return rows.withColumn("_first", first).join(parts, "_first", "left").withColumn("_part", F.coalesce("_part", F.concat_ws("|", F.lit("r"), "_block", F.col("key").cast("string")))).drop("_first", "_nodes")
 
 
 def blocks(events: DataFrame) -> DataFrame:
     """``events`` with _block: rows of different blocks never meet in the fold, whatever is merged."""
     rows = events.withColumn("_block", F.lit("0"))
     words = F.when(F.size(title_words(F.col("name"))) > 0, title_words(F.col("name"))).otherwise(F.array(F.concat(F.lit("="), normal(F.col("name")))))
-    rows = cut(_labelled(rows, rows.select("key", "_block", F.explode(words).alias("node"))).withColumn("_block", F.sha1("_part")).drop("_part"))
+    rows = cut(_labelled(rows.withColumn("_nodes", words)).withColumn("_block", F.sha1("_part")).drop("_part"))
 
-    place = rows.select("key", "_block", venue_key(F.col("venue")).alias("venue"), geo.cell(F.col("lat"), CELLS_PER_DEGREE).alias("y"), geo.cell(F.col("lon"), CELLS_PER_DEGREE).alias("x"))
     cell = lambda y, x: F.concat_ws(":", F.lit("cell"), y, x)
+    place = rows.select("_block", venue_key(F.col("venue")).alias("venue"), geo.cell(F.col("lat"), CELLS_PER_DEGREE).alias("y"), geo.cell(F.col("lon"), CELLS_PER_DEGREE).alias("x")).distinct()
+    place = cut(place)
     venues = place.filter("venue <> ''").select("_block", "venue").distinct()
     cells = place.filter("y is not null and x is not null").select("_block", "y", "x").distinct()
-    nodes = place.filter("venue <> ''").select("key", "_block", "venue", F.col("venue").alias("node")).drop("venue").unionByName(place.filter("y is not null and x is not null").select("key", "_block", cell(F.col("y"), F.col("x")).alias("node")))
     # Venues contained in others: every part of a venue's name is looked up among the names of its block.
     parts = venues.select("_block", F.col("venue").alias("b"), F.explode(F.sequence(F.lit(1), F.length("venue"))).alias("i"))
     parts = parts.select("_block", "b", F.explode(F.transform(F.sequence(F.lit(1), F.length("b") - F.col("i") + 1), lambda n: F.substring(F.col("b"), F.col("i"), n))).alias("a")).distinct()
@@ -81,7 +88,9 @@ def blocks(events: DataFrame) -> DataFrame:
     steps = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)))))
     around = cells.select("_block", "y", "x", steps.alias("s")).select("_block", cell(F.col("y"), F.col("x")).alias("a"), (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
     beside = around.join(cells, ["_block", "y", "x"]).select("_block", "a", cell(F.col("y"), F.col("x")).alias("b"))
-    rows = _labelled(rows, nodes, inside.unionByName(beside)).withColumn("_block", F.sha1("_part")).drop("_part")
+    y, x = geo.cell(F.col("lat"), CELLS_PER_DEGREE), geo.cell(F.col("lon"), CELLS_PER_DEGREE)
+    nodes = F.array_compact(F.array(F.nullif(venue_key(F.col("venue")), F.lit("")), F.when(y.isNotNull() & x.isNotNull(), cell(y, x))))
+    rows = _labelled(rows.withColumn("_nodes", nodes), inside.unionByName(beside)).withColumn("_block", F.sha1("_part")).drop("_part")
 
     order = Window.partitionBy("_block").orderBy("day_start", "day_end", "key")
     before = F.max("day_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -123,21 +132,69 @@ def _merged(a: dict, b: dict) -> dict:
         out |= {"day_start": min(a["day_start"], b["day_start"]), "day_end": max(a["day_end"], b["day_end"]), "days": low["days"]}
     tags = {*(a["tags"] or ()), *(b["tags"] or ())}
     out["tags"] = [t for t in TAGS if t in tags]
-    links = dict.fromkeys(u for u in (*a["also"], *b["also"], a["url"], b["url"]) if u)
-    out["also"] = [u for u in links if u != out["url"]]
+    # The listed event's addresses are kept in one dict that grows: a copy for each row would make long events quadratic.
+    links = a["also"] if isinstance(a["also"], dict) else dict.fromkeys(a["also"])
+    links.update(dict.fromkeys(u for u in (*b["also"], a["url"], b["url"]) if u and u not in links))
+    links.pop(out["url"], None)
+    out["also"] = links
     return out
 
 
+def _places_in_index(event: dict) -> tuple[set, int, int]:
+    """The words (the whole name, if it has none) and the first and last stretch of days that an event is found by."""
+    first, last = sorted((event["day_start"].toordinal(), event["day_end"].toordinal()))
+    return event["_words"] or {"=" + event["_normal"]}, first // STRETCH, last // STRETCH
+
+
+class _Index:
+    """Numbers of listed events by word and stretch of days: whatever is the same as a row is found there."""
+
+    def __init__(self) -> None:
+        self.found: dict[str, dict[int, set[int]]] = {}
+
+    def change(self, i: int, event: dict, before: dict | None) -> None:
+        words, first, last = _places_in_index(event)
+        if before is not None:
+            old, low, high = _places_in_index(before)
+            for word in old:
+                known = self.found[word]
+                for day in range(low, high + 1) if word not in words else (*range(low, first), *range(last + 1, high + 1)):
+                    if low <= day <= high:
+                        known[day].discard(i)
+        for word in words:
+            known = self.found.setdefault(word, {})
+            if before is not None and word in old:
+                days = (*range(first, min(low, last + 1)), *range(max(high + 1, first), last + 1))
+            else:
+                days = range(first, last + 1)
+            for day in days:
+                known.setdefault(day, set()).add(i)
+
+    def near(self, row: dict) -> list[int]:
+        words, first, last = _places_in_index(row)
+        some: set[int] = set()
+        for known in filter(None, map(self.found.get, words)):
+            for day in range(first, last + 1):
+                some |= known.get(day, _NONE)
+        return sorted(some)
+
+
 def fold(rows: list[dict]) -> list[dict]:
     """The merged events of rows in order."""
     events: list[dict] = []
+    index = _Index()
     for row in rows:
-        at = None if None in (row["day_start"], row["day_end"]) else next((i for i, e in enumerate(events) if None not in (e["day_start"], e["day_end"]) and _same(e, row)), None)
+        if None in (row["day_start"], row["day_end"]):
+            events.append(row)
+            continue
+        at = next((i for i in index.near(row) if _same(events[i], row)), None)
         if at is None:
+            at, before = len(events), None
             events.append(row)
         else:
-            events[at] = _merged(events[at], row)
-    return events
+            before, events[at] = events[at], _merged(events[at], row)
+        index.change(at, events[at], before)
+    return [e | {"also": list(e["also"])} for e in events]
 
 
 def _fold_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
