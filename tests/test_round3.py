@@ -8,6 +8,7 @@ import duckdb
 from wayfold import catalog
 from wayfold.operators import event_fold, matching, quad, resolve
 from wayfold.plans import evening, grammar, page_queries
+from wayfold.sources import tables
 
 SF = "/root/testdata/sf0.1"
 
@@ -167,3 +168,8 @@ def test_fold_tries_few_listed_events(monkeypatch):
     monkeypatch.setattr(event_fold, "_same", lambda a, b: tried.__setitem__(0, tried[0] + 1) or same(a, b))
     assert event_fold.fold([dict(r) for r in rows]) == expected and len(expected) < len(rows)
     assert tried[0] < 20 * len(rows)
+
+
+def test_narrow_rows_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS_OF_A_TASK", 20, raising=False)
+    assert tables.spread(spark.range(1000, numPartitions=8)).rdd.getNumPartitions() == 50

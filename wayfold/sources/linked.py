@@ -77,7 +77,9 @@ def blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, _blocks): the parsed ld+json blocks of a page."""
     found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"""), F.lit(1))
     bare = lambda x: F.regexp_replace(x, r"^\s*(<!--|//\s*<!\[CDATA\[|<!\[CDATA\[)|(-->|//\s*\]\]>|\]\]>)\s*$", "")
-    read = lambda x: F.coalesce(F.try_parse_json(x), F.try_parse_json(bare(x)), F.try_parse_json(F.regexp_replace(bare(x), r",\s*([}\]])", "$1")))
+    # A text that the next mending leaves as it is has failed already: reading it again would cost another exception.
+    mended = lambda x: F.regexp_replace(x, r",\s*([}\]])", "$1")
+    read = lambda x: F.coalesce(F.try_parse_json(x), F.try_parse_json(F.nullif(bare(x), x)), F.try_parse_json(F.nullif(mended(bare(x)), bare(x))))
     return pages.select(key, F.filter(F.transform(found, read), lambda x: x.isNotNull()).alias("_blocks"))
 
 
@@ -92,8 +94,8 @@ def _is_nested(x: Column) -> Column:
 
 
 def _event_fields(node: Column) -> Column:
-    item = F.when(as_object(_get(node, "item")).isNotNull(), _get(node, "item"))
-    return F.when(as_object(node).isNotNull(), F.filter(F.array(*(item if f == "item" else _get(node, f) for f in EVENT_FIELDS)), lambda x: x.isNotNull()))
+    item = F.when(_get(node, "item").isNotNull() & as_object(_get(node, "item")).isNotNull(), _get(node, "item"))
+    return F.filter(F.array(*(item if f == "item" else _get(node, f) for f in EVENT_FIELDS)), lambda x: x.isNotNull())
 
 
 def _all_fields(node: Column) -> Column:
@@ -102,12 +104,15 @@ def _all_fields(node: Column) -> Column:
 
 
 def walk(parsed: DataFrame, key: str, depth: int, fields: Callable[[Column], Column], wanted: Callable[[Column], Column], most: int | None = None) -> DataFrame:
-    """(key, position, depth, node): the wanted objects at depths of at most ``depth``, in document order, the first ``most`` of a page."""
+    """(key, position, depth, node): the wanted objects at depths of at most ``depth``, in document order, the first ``most`` of a page.
+
+    ``wanted`` must ask for a field, so that it holds for objects only: to read a node as a map costs more than all of its tests.
+    """
     first = F.transform("_blocks", lambda x, i: F.struct(F.array(i).alias("path"), x.alias("value")))
     now = parsed.select(key, first.alias("_0"))
     for level in range(1, depth + 1):
         now = now.withColumn(f"_{level}", F.flatten(F.transform(f"_{level - 1}", lambda n: _below(n, fields))))
-    found = now.select(key, F.filter(F.concat(*(f"_{level}" for level in range(depth + 1))), lambda n: as_object(n["value"]).isNotNull() & wanted(n["value"])).alias("_hits"))
+    found = now.select(key, F.filter(F.concat(*(f"_{level}" for level in range(depth + 1))), lambda n: wanted(n["value"])).alias("_hits"))
     # Variants don't compare, so paths are sorted and looked up again.
     found = found.withColumn("_order", F.array_sort(F.transform("_hits", lambda n: n["path"])))
     # An inner explode would add a filter on the size of the hits, which repeats the whole walk below it.
@@ -117,8 +122,8 @@ def walk(parsed: DataFrame, key: str, depth: int, fields: Callable[[Column], Col
 
 
 def is_event(node: Column) -> Column:
-    of_type = F.exists(types(node), lambda t: t.endswith("Event"))
-    return of_type & _get(node, "name").isNotNull() & _get(node, "startDate").isNotNull()
+    # Types are read last: most nodes have no name.
+    return _get(node, "name").isNotNull() & _get(node, "startDate").isNotNull() & F.exists(types(node), lambda t: t.endswith("Event"))
 
 
 def events(pages: DataFrame, key: str, html: str) -> DataFrame:
