@@ -25,19 +25,30 @@ _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) over runs of rows; null counts as empty."""
+    """(first row, end row, bytes, offsets) over runs of rows; null counts as empty. Nulls are filled run by run, so that the batch is not copied."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    filled = pc.fill_null(texts.cast(pa.large_string()), "")
-    offsets = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1] if len(filled) else np.zeros(1, np.int64)
-    data = np.frombuffer(filled.buffers()[2], np.uint8) if filled.buffers()[2] is not None else np.zeros(0, np.uint8)
+    if not (pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type)):
+        texts = texts.cast(pa.large_string())
+    width = np.int32 if pa.types.is_string(texts.type) else np.int64
+    ends = _offsets(texts, width)
     first = 0
-    while first < len(filled):
-        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
-        yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
+    while first < len(texts):
+        end = max(first + 1, int(np.searchsorted(ends, int(ends[first]) + most, "right")) - 1)
+        run = texts.slice(first, end - first)
+        if run.null_count:
+            run = pc.fill_null(run, "")
+        offsets = _offsets(run, width).astype(np.int64)
+        data = np.frombuffer(run.buffers()[2], np.uint8) if run.buffers()[2] is not None else np.zeros(0, np.uint8)
+        yield first, end, data[offsets[0] : offsets[-1]], offsets - offsets[0]
         first = end
 
 
+def _offsets(texts: pa.Array, width: type) -> np.ndarray:
+    """Where the texts of an array begin in its bytes, and where the last one ends."""
+    return np.frombuffer(texts.buffers()[1], width)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, width)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -65,8 +65,11 @@ LEAST, OF = 75, 100
 FREQUENT_LEAST, FREQUENT_TOKENS, COUNTED = 16, 1 << 20, 0.3
 #: Share of a task's texts, and number, from which the task reports a token.
 REPORT_SHARE, REPORT_LEAST = 0.0005, 4
-#: Tokens that a task gathers before it drops those it saw once.
-GATHERED = 1 << 20
+#: Tokens that a task gathers before it drops those it saw once, and before it hands on those that are counted exactly.
+GATHERED, HANDED_ON = 1 << 20, 1 << 17
+#: Bytes of text that are hashed at a time, and rows and bytes of sets of a batch that a task hands on. Hashing takes many times the
+#: bytes of its texts, beside the batch of 10,000 texts that Spark hands to the worker.
+TEXT_BYTES, BATCH_ROWS, BATCH_BYTES = 1 << 18, 1 << 15, 1 << 20
 BAND = 1.34
 #: Rounds of comparisons with leaders, and the least share of a node's tokens that it then has in common with its leader as signatures.
 STAR_ROUNDS = 3
@@ -86,7 +89,7 @@ _STEPS = [_U(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)) for k in range(WORDS)
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """Sorted distinct tokens of every text, in order."""
-    for first, end, data, offsets in arrays.slices(texts):
+    for first, end, data, offsets in arrays.slices(texts, TEXT_BYTES):
         data = arrays.lower_ascii(data)
         starts, ends, owner = arrays.words(data, offsets)
         hashed = arrays.span_hash(arrays.prefix_hash(data), starts, ends)
@@ -153,11 +156,16 @@ _COUNTS = pa.schema([("_token", pa.int64()), ("_count", pa.int64())])
 
 
 def _merged(tokens: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    tokens, counts = np.concatenate(tokens), np.concatenate(counts)
-    if not tokens.size:
-        return tokens, counts
-    order = np.argsort(tokens)
-    tokens, counts = tokens[order], counts[order]
+    """Distinct tokens, sorted, and the sums of their counts. The lists are emptied, as large ones would be held twice."""
+    joined = []
+    for parts in (tokens, counts):
+        joined.append(np.concatenate(parts))
+        parts.clear()
+    if not joined[0].size:
+        return joined[0], joined[1]
+    order = np.argsort(joined[0])
+    counts, tokens = joined.pop()[order], joined.pop()[order]
+    del order
     firsts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
     return tokens[firsts], np.add.reduceat(counts, firsts)
 
@@ -170,28 +178,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [0, 0]
     rows = 0
 
-    def told(tokens: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], schema=_COUNTS)
+    def told(tokens: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, tokens.size, BATCH_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[k : k + BATCH_ROWS].view(np.int64)), pa.array(counts[k : k + BATCH_ROWS].astype(np.int64))], schema=_COUNTS)
 
     for batch in batches:
         for tokens in shingle_sets(batch.column("_text")):
             rows += 1
             cut_at = int(np.searchsorted(tokens, limit))
             for k, (part, kept) in enumerate(((tokens[:cut_at], low), (tokens[cut_at:], high))):
-                kept[0].append(part)
+                kept[0].append(part.copy())  # a view would keep the other part too
                 kept[1].append(np.ones(part.size, np.int32))
                 held[k] += part.size
-            if held[0] > GATHERED:
-                yield told(*_merged(*low))
+            if held[0] > HANDED_ON:
+                yield from told(*_merged(*low))
                 low, held[0] = [[none[0]], [none[1]]], 0
             if held[1] > GATHERED:
                 tokens, counts = _merged(*high)
                 high = [[tokens[counts > 1]], [counts[counts > 1]]]
                 held[1] = high[0][0].size
-    yield told(*_merged(*low))
+    yield from told(*_merged(*low))
     tokens, counts = _merged(*high)
     common = counts >= max(REPORT_LEAST, REPORT_SHARE * rows)
-    yield told(tokens[common], counts[common])
+    yield from told(tokens[common], counts[common])
 
 
 def _pair_signatures(rare: int, frequent: np.ndarray, need: int, band: int) -> list[int]:
@@ -256,7 +265,7 @@ def _signer(frequent_tokens, naming: _Naming):
                     for column, x in zip(rows, (sig, node, n, rares)):
                         column.append(x)
                     held += sig.size
-                if held > 200_000:
+                if held > BATCH_ROWS:
                     yield flush()
                     rows, held = [[], [], [], []], 0
             yield flush()
@@ -272,13 +281,14 @@ def _sets(naming: _Naming):
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sets = [], []
+            nodes, sets, held = [], [], 0
             for tokens in shingle_sets(batch.column("_text")):
                 nodes.append(naming(tokens))
                 sets.append(tokens.tobytes())
-                if len(nodes) == 500:
+                held += tokens.nbytes
+                if held > BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], schema=_SETS)
-                    nodes, sets = [], []
+                    nodes, sets, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], schema=_SETS)
 
     return sets_of
