@@ -7,14 +7,18 @@ The expected severity is the sum over k of P(grade > k); a text is rejected if P
 
 The model is fitted in numpy by Adagrad on at most ``TRAIN_ROWS`` labelled rows, those with the
 smallest hashes of their id, so that reruns agree; scoring covers whole texts of all rows. If there are more, toxic rows
-make up to half of the sample, and the thresholds are moved by the logarithm of how much more clean rows were left
-out, which undoes the choice. Features get no weight if they depend on the label only as chance allows (a likelihood ratio
+make up at least ``TOXIC_SHARE`` of the sample, as far as there are any. Features get no weight if they depend on the label only as chance allows (a likelihood ratio
 below ``LEAST_G2``) or are less than ``LEANING_ODDS`` times likelier in toxic rows: plain words beside a slur
 must not outweigh it. Labels above 1 are grades and are fitted as they are. Where labels only tell toxic from clean, grades
 1 and 2 are told apart by the share of telling features (at least ``TELLING_ODDS`` times likelier in toxic than in
 clean rows of the sample) among a row's features: above the median of toxic rows it is grade 2. To learn single telling
 words, not only their company, toxic rows are shown with a random part of their features left out.
 
+Such rows score lower than whole texts do, so the fitted thresholds are none for whole texts: moved by the logarithm of the clean
+rows left out of the sample, they let a third of toxic rows pass. Thresholds and the scale of the score are therefore fitted
+once more on whole texts, each row counting for as many as it stands for. Each half of the sample is scored by
+weights of the other half; with less than ``HALVES_FROM`` toxic rows the scores are those of the model itself.
+
 Defined cases: null and empty texts have no features and get the clean grade; labels without a
 document, null labels and repeated labels of a row (the larger counts) are handled; without any
 labelled row of both kinds nothing is rejected; repeated rows are graded alike; very long texts are scored whole.
@@ -22,7 +26,7 @@ labelled row of both kinds nothing is rejected; repeated rows are graded alike;
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +40,8 @@ from wayfold.llm import arrays
 BUCKET_BITS = 18
 PREFIXES = (4, 5, 6, 7)
 TRAIN_ROWS = 12_000
+TOXIC_SHARE = 1 / 8
+HALVES_FROM = 100
 LEAST_G2, LEAST_ROWS = 12.0, 3
 EPOCHS = 30
 RATE = 0.5
@@ -142,11 +148,52 @@ def fit(features: list[np.ndarray], grades: np.ndarray, seed: int = SEED) -> Ord
     return OrdinalModel(w, t)
 
 
+def _scores(model: OrdinalModel, words: list[np.ndarray]) -> np.ndarray:
+    return np.array([model.weights[w].sum() for w in words])
+
+
+def unseen_scores(toxic: np.ndarray, grades: np.ndarray, words: list[np.ndarray]) -> np.ndarray | None:
+    """Scores of whole texts by a model of the other half, equal texts being in one half; None if a half lacks a kind."""
+    half = np.array([zlib.crc32(w) & 1 for w in words])
+    score = np.zeros(len(words))
+    for k in (0, 1):
+        seen, unseen = np.flatnonzero(half != k), np.flatnonzero(half == k)
+        if not 0 < (toxic[seen] > 0).sum() < seen.size:
+            return None
+        depends, _ = telling_features(toxic[seen], [words[i] for i in seen])
+        score[unseen] = _scores(fit([words[i][depends[words[i]]] for i in seen], grades[seen]), [words[i] for i in unseen])
+    return score
+
+
+def _logistic(columns: np.ndarray, above: np.ndarray, rows: np.ndarray, known: np.ndarray | float = 0.0) -> np.ndarray:
+    """Weights of ``columns`` beside the ``known`` part by Newton steps; a row is added to each kind (Platt), so that they stay finite."""
+    yes, no = rows[above].sum(), rows[~above].sum()
+    target = np.where(above, (yes + 1) / (yes + 2), 1 / (no + 2))
+    b = np.zeros(columns.shape[1])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(columns @ b + known, -60, 60)))
+        curve = (columns * (rows * p * (1 - p))[:, None]).T @ columns + 1e-3 * np.eye(b.size)
+        step = np.linalg.solve(curve, columns.T @ (rows * (p - target)) + 1e-3 * b)
+        b -= step * min(1.0, 2 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-6:
+            break
+    return b
+
+
+def calibrate(model: OrdinalModel, score: np.ndarray, grades: np.ndarray, stands_for: np.ndarray) -> OrdinalModel:
+    """``model`` with scale and thresholds by which P(grade > k) fits the grades of texts with these scores."""
+    rows, mean, spread = stands_for / stands_for.mean(), score.mean(), max(score.std(), 1e-9)
+    one = np.ones((score.size, 1))
+    slope = max(0.0, _logistic(np.column_stack([(score - mean) / spread, one]), grades > 0, rows)[0] / spread)
+    thresholds = [-_logistic(one, grades > k, rows, slope * score)[0] for k in range(model.thresholds.size)]
+    return OrdinalModel(model.weights * slope, np.sort(thresholds))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> OrdinalModel:
     named = labels.filter(F.col(id_col).isNotNull() & F.col(toxic_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(toxic_col).cast("int").alias("_toxic"))
     named = named.filter("_toxic >= 0")
     kinds = dict(named.groupBy((F.col("_toxic") > 0).alias("kind")).count().collect())
-    toxic_rows = min(kinds.get(True, 0), max(train_rows // 2, train_rows - kinds.get(False, 0)))
+    toxic_rows = min(kinds.get(True, 0), max(int(train_rows * TOXIC_SHARE), train_rows - kinds.get(False, 0)))
     clean_rows = min(kinds.get(False, 0), train_rows - toxic_rows)
     first = lambda part, n: named.filter(part).orderBy(F.xxhash64("_id"), "_id").limit(n)
     sample = first("_toxic > 0", toxic_rows).unionByName(first("_toxic = 0", clean_rows))
@@ -158,11 +205,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not 0 < (toxic > 0).sum() < toxic.size:
         return OrdinalModel(np.zeros(1 << BUCKET_BITS), np.array([50.0, 60.0]))
     depends, telling = telling_features(toxic, words)
-    model = fit([w[depends[w]] for w in words], toxic if toxic.max() > 1 else split_grades(toxic, words, telling))
-    left_out = math.log(kinds[False] / clean_rows * toxic_rows / kinds[True])
+    grades = toxic if toxic.max() > 1 else split_grades(toxic, words, telling)
+    model = fit([w[depends[w]] for w in words], grades)
+    score = unseen_scores(toxic, grades, words) if (toxic > 0).sum() >= HALVES_FROM else None
+    stands_for = np.where(toxic > 0, kinds[True] / toxic_rows, kinds[False] / clean_rows)
+    model = calibrate(model, _scores(model, words) if score is None else score, grades, stands_for)
     del got, held, words
     pa.default_memory_pool().release_unused()
-    return OrdinalModel(model.weights, model.thresholds + left_out)
+    return model
 
 
 def _scorer(model):
