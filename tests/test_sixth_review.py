@@ -1,6 +1,7 @@
 """Cases of the sixth review: queries in a session of their own, and what they hold and write."""
 
 import os
+import random
 import subprocess
 import sys
 from pathlib import Path
@@ -8,6 +9,7 @@ from pathlib import Path
 import duckdb
 
 from wayfold import catalog
+from wayfold.operators import resolve
 
 FIRST_IN_ITS_SESSION = """
 import sys, tempfile
@@ -28,3 +30,18 @@ def test_address_verdicts_run_first_in_a_session():
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{sf}/customer.parquet'")
     expected = sorted(con.execute(catalog.ORACLE_SQL["address_verdicts"]).fetchall())
     assert expected and run.stdout.strip() == str(expected), run.stderr[-2000:]
+
+
+def test_components_keep_their_estimated_size_and_few_rounds(spark, monkeypatch):
+    # The estimate of a checkpointed join is a product, and its digits doubled with every round.
+    draw, n = random.Random(7), 300
+    names = draw.sample(range(n), n)
+    side = 15
+    grid = [(names[k], names[k + step]) for k in range(n) for step in (1, side) if k + step < n and (step > 1 or (k + 1) % side)]
+    nodes = spark.createDataFrame([(k,) for k in range(n + 2)], "node long")
+    stored, plain = [], getattr(resolve, "store", None)
+    monkeypatch.setattr(resolve, "store", lambda df: stored.append(df) or plain(df), raising=False)
+    labels = resolve.components(nodes, spark.createDataFrame(grid, "a long, b long"))
+    assert {r.node: r.label for r in labels.collect()} == {k: 0 if k < n else k for k in range(n + 2)}
+    assert labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1_000_000
+    assert len(stored) <= 7

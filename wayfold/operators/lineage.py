@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the checkpoint folder and read again, so that its size is that of its files.
+
+    After ``cut`` Spark goes on with the size it had estimated, and the estimate of a join is a product: in a loop over joins its digits double
+    with every round, until the driver has no room for the number.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count proves that it has at most ``rows`` rows, else as it is; it should be cheap to count."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

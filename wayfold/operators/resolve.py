@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
-from wayfold.operators.lineage import cut
+from wayfold.operators.lineage import cut, store
 
 
 def pairs_within(left: DataFrame, right: DataFrame, km: float, per_degree: int, on: tuple[str, ...] = ()) -> DataFrame:
@@ -82,15 +82,16 @@ def suppress_later(rows: DataFrame, conflicts: DataFrame, key: str) -> DataFrame
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label) with the smallest node of each component: labels take the smallest label around them, then jump to their label's label."""
+    """(node, label) with the smallest node of each component: all nodes of a label take the smallest label around any of them, then jump to their label's label."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(nodes.select("node", F.col("node").alias("label")))
+    labels = store(nodes.select("node", F.col("node").alias("label")))
     while True:
         # Labels are as many as nodes: they are shuffled, not broadcast through the driver.
         around = both.join(labels.hint("merge"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("low"))
-        hooked = labels.join(around.hint("merge"), labels["node"] == around["a"], "left").select("node", "label", F.least("label", F.coalesce("low", "label")).alias("next"))
+        beside = labels.join(around.hint("merge"), labels["node"] == around["a"], "left").groupBy("label").agg(F.least("label", F.min("low")).alias("next"))
+        hooked = labels.join(beside.hint("merge"), "label").select("node", "label", "next")
         up = hooked.select(F.col("node").alias("next"), F.col("next").alias("jump"))
-        moved = cut(hooked.join(up.hint("merge"), "next").select("node", "label", F.least("next", "jump").alias("next")))
+        moved = store(hooked.join(up.hint("merge"), "next").select("node", "label", F.least("next", "jump").alias("next")))
         changed = moved.filter("next <> label").limit(1).count()
         labels = moved.select("node", F.col("next").alias("label"))
         if not changed:
