@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,19 @@ def neighbour_cells(lat: Column, lon: Column, per_degree: int) -> Column:
     return F.flatten(F.transform(around, lambda i: F.transform(around, lambda j: F.struct((y + i).alias("y"), (x + j).alias("x")))))
 
 
+def degrees_north(km: float) -> float:
+    """The degrees of latitude that points ``km`` apart differ in at most, with room for rounding."""
+    return math.degrees(km / EARTH_KM) * 1.001 + 1e-9
+
+
+def cells_within(lat: Column, lon: Column, km: float, per_degree: int) -> Column:
+    """Those of the 3 x 3 cells (y, x) around a point that may hold points at most ``km`` away."""
+    north = F.lit(degrees_north(km))
+    east = north / F.greatest(F.cos(F.radians(F.least(F.abs(lat) + north, F.lit(90.0)))), F.lit(1e-6)) * 1.001
+    cells = lambda x, reach: F.sequence(F.greatest(cell(x - reach, per_degree), cell(x, per_degree) - 1), F.least(cell(x + reach, per_degree), cell(x, per_degree) + 1))
+    return F.flatten(F.transform(cells(lat, north), lambda y: F.transform(cells(lon, east), lambda x: F.struct(y.alias("y"), x.alias("x")))))
+
+
 def travel_minutes(km: Column) -> Column:
     """Up to 1.2 km on foot at 4.5 km/h, 3 minutes at least; else by taxi at 22 km/h plus 5 minutes, 8 at least; 20 if unknown."""
     walk = F.greatest(F.lit(3.0), F.ceil(km / 4.5 * 60).cast("double"))

@@ -9,17 +9,19 @@ from wayfold.functions import geo
 from wayfold.operators.lineage import cut, store
 
 
-def pairs_within(left: DataFrame, right: DataFrame, km: float, per_degree: int, on: tuple[str, ...] = ()) -> DataFrame:
+def pairs_within(left: DataFrame, right: DataFrame, km: float, per_degree: int, on: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
     """Rows (left struct l, right struct r, km) at most ``km`` apart and equal in the columns ``on``; both sides have lat and lon.
 
-    The right side is copied to its 3 x 3 cells of 1 / ``per_degree`` degree, so that the join is an equi-join on cells;
-    a cell must be at least ``km`` wide.
+    The right side is copied to those of its 3 x 3 cells of 1 / ``per_degree`` degree that are within ``km``, so that the join is an equi-join on
+    cells; a cell must be at least ``km`` wide. ``where``: a cheap condition on l and r that is tested before the distance.
     """
     a = left.select(F.struct("*").alias("l"), geo.cell(F.col("lat"), per_degree).alias("cy"), geo.cell(F.col("lon"), per_degree).alias("cx"), *(F.col(c).alias(f"_on_{c}") for c in on))
-    b = right.select(F.struct("*").alias("r"), F.explode(geo.neighbour_cells(F.col("lat"), F.col("lon"), per_degree)).alias("c"), *(F.col(c).alias(f"_on_{c}") for c in on))
+    b = right.select(F.struct("*").alias("r"), F.explode(geo.cells_within(F.col("lat"), F.col("lon"), km, per_degree)).alias("c"), *(F.col(c).alias(f"_on_{c}") for c in on))
     b = b.select("r", F.col("c.y").alias("cy"), F.col("c.x").alias("cx"), *(f"_on_{c}" for c in on))
     apart = geo.haversine_km(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon"))
-    return a.join(b, ["cy", "cx", *(f"_on_{c}" for c in on)]).select("l", "r", apart.alias("km")).filter(F.col("km") <= km)
+    met = a.join(b, ["cy", "cx", *(f"_on_{c}" for c in on)])
+    met = met if where is None else met.filter(where)
+    return met.filter(F.abs(F.col("l.lat") - F.col("r.lat")) <= geo.degrees_north(km)).select("l", "r", apart.alias("km")).filter(F.col("km") <= km)
 
 
 def _own(key: str, same: tuple[str, ...]) -> Column:
